@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, topk_search
+from quillstone.llm import mixing, repair, topk_search
 from quillstone.session import read_table
 
 
@@ -17,6 +17,11 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = repair.round_trip(spark, read_table(spark, sf_dir, "documents"))
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").where(topk_search.usable(F.col("embedding")))
     vectors = vectors.select("vec_id", topk_search.quantised(F.col("embedding")).alias("vector"))
@@ -26,6 +31,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op5_repair_token_ids": op5_repair_token_ids,
     "op6_exact_top_k": op6_exact_top_k,
 }
 
