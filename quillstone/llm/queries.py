@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, repair, topk_search
+from quillstone.llm import mixing, packing, repair, topk_search
 from quillstone.session import read_table
 
 
@@ -29,10 +29,16 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op5_repair_token_ids": op5_repair_token_ids,
     "op6_exact_top_k": op6_exact_top_k,
+    "op9_harmonic_packing": op9_harmonic_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
