@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, packing, repair, topk_search
+from quillstone.llm import host_rules, mixing, packing, repair, topk_search
 from quillstone.session import read_table
 
 
@@ -29,6 +29,13 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = host_rules.apply_rules(read_table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -38,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op5_repair_token_ids": op5_repair_token_ids,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_host_rules": op7_host_rules,
     "op9_harmonic_packing": op9_harmonic_packing,
 }
 
@@ -56,4 +64,53 @@ ORACLE_SQL: dict[str, str] = {
                vec_id, score
         FROM s QUALIFY rank <= 10
     """,
+    "op7_host_rules": rf"""
+        WITH w AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents
+        ), lines AS (
+            SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM w)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+        ), grams AS (
+            SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+            FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)
+        ), twice AS (
+            SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+        ), covered AS (
+            SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY r
+        ), c AS (
+            SELECT w.r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+                   CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   coalesce(n_lines, 0) AS n_lines
+            FROM w LEFT JOIN lines USING (r) LEFT JOIN covered USING (r)
+        ), f AS (
+            SELECT *, rule, CASE rule
+                WHEN 1 THEN n_words < 50
+                WHEN 2 THEN 100 * n_repeat_words > 50 * n_words
+                WHEN 3 THEN 10 * n_symbols > n_words
+                WHEN 4 THEN n_dup_lines > 0 AND 3 * n_dup_lines > n_lines
+                ELSE word_chars < 3 * n_words OR word_chars > 10 * n_words END AS failed
+            FROM c, (SELECT unnest([1, 2, 3, 4, 5]) AS rule)
+        ), h AS (
+            SELECT source, rule, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS k
+            FROM f GROUP BY ALL
+        ), m AS (
+            SELECT rule, sum(k) / sum(n) AS mean, count(*) / sum(n) AS share,
+                   (sum(k * k / n) / sum(n) - mean * mean - mean * (1 - mean) * share) / (1 - share) AS variance
+            FROM h GROUP BY rule
+        ), p AS (
+            SELECT rule, mean, least(greatest(CASE WHEN variance > 0 AND mean > 0 AND mean < 1
+                THEN mean * (1 - mean) / variance - 1 ELSE 10000 END, 1), 10000) AS weight FROM m
+        ), v AS (
+            SELECT source, bool_or((k + mean * weight) / (n + weight) > 0.5) AS rejected
+            FROM h JOIN p USING (rule) GROUP BY source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT base_failed AND NOT rejected AS kept
+        FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
+    """,
 }
