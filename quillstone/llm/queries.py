@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import host_rules, mixing, packing, repair, topk_search
+from quillstone.llm import host_rules, mixing, packing, repair, site_quality, topk_search
 from quillstone.session import read_table
 
 
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = site_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc.doc_id", "p_document", "host_rate", "path_rate", "p_good", "kept")
+
+
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "source", "size", "source_size", "target", "copies", "taken"
@@ -42,6 +47,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_quality": op1_site_quality,
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op5_repair_token_ids": op5_repair_token_ids,
     "op6_exact_top_k": op6_exact_top_k,
