@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.tokens import default_vocabulary, ragged_take, worker_encoder
+from quillstone.llm.tokens import default_vocabulary, ragged_take, text_chunks, worker_encoder
 from quillstone.session import written
 
 CAPACITY = 1024
+#: text that a worker encodes at a time
+CHUNK_BYTES = 6 << 20
 #: workers whose open sequences one task merges
 GROUP = 128
 #: a sequence id is a worker's or group's number times this, plus a counter
@@ -108,7 +110,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
 
         worker, encoder = TaskContext.get().partitionId(), worker_encoder(vocabulary)
         filler, held = ClassFiller(capacity, worker), None
-        for ids, texts in _chunks(batches):
+        for ids, texts in text_chunks(batches, CHUNK_BYTES):
             table = _pieces(encoder.encode(texts), ids, filler, end_id, capacity, worker)
             if held is not None:
                 table = pa.concat_tables([held, table])
@@ -144,25 +146,6 @@ def _pieces(segments, ids: pa.Array, filler: ClassFiller, end_id: int, capacity:
     })
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts of about ``most`` bytes at a time."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= most:
-            yield _joined(held)
-            held, size = [], 0
-    if held:
-        yield _joined(held)
-
-
-def _joined(held: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
-    ids = pa.concat_arrays([x.column(0) for x in held])
-    return ids, pa.concat_arrays([x.column(1).cast(pa.large_string()) for x in held])
-
-
 def _merge(capacity: int):
     """Sequences for the open rests of one group of workers."""
 

@@ -10,6 +10,7 @@ each text by itself.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: distinct words a worker keeps between batches
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 JOINED = 1000
 
 
@@ -127,7 +128,7 @@ class Encoder:
                     known[w] = i
                 self.fixed = first + min(room, len(words))
                 self.fixed_ids = int(self.starts[-1][self.fixed - first - 1] + self.lengths[-1][self.fixed - first - 1])
-        codes = code[index]
+        codes = code[index]  # -1: not a word that the tokens of its neighbours leave alone
 
         # the first word of a text follows no space
         heads = offsets[:-1]
@@ -151,6 +152,32 @@ class Encoder:
         return Segments(codes[keep], np.cumsum(counts), self.flat, starts, lengths)
 
 
+def text_chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of batches with these two columns, cut to about ``most`` bytes of text; a longer text comes alone."""
+    ids: list[pa.Array] = []
+    texts: list[pa.Array] = []
+    held = 0
+    for batch in batches:
+        at, column = 0, batch.column(1)
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
+        while at < len(column):
+            before = int(ends[at - 1]) if at else 0
+            fits = int(np.searchsorted(ends, before + most - held, side="right")) - at
+            if fits <= 0 and not ids:
+                fits = 1
+            if fits > 0:
+                ids.append(batch.column(0).slice(at, fits))
+                texts.append(column.slice(at, fits).cast(pa.large_string()))
+                held += int(ends[at + fits - 1]) - before
+                at += fits
+            if at < len(column):
+                yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+                ids, texts, held = [], [], 0
+                pa.default_memory_pool().release_unused()
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
