@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import host_rules, mixing, packing, repair, site_quality, topk_search
+from quillstone.llm import host_rules, mixing, ngram_join, packing, repair, site_quality, topk_search
 from quillstone.session import read_table
 
 
@@ -22,6 +22,11 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_copies", "n_links", "kept")
+
+
 def op5_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = repair.round_trip(spark, read_table(spark, sf_dir, "documents"))
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -49,6 +54,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_quality": op1_site_quality,
     "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_repair_token_ids": op5_repair_token_ids,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_host_rules": op7_host_rules,
@@ -119,4 +125,34 @@ ORACLE_SQL: dict[str, str] = {
                n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT base_failed AND NOT rejected AS kept
         FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
     """,
+    "op4_ngram_jaccard": r"""
+        WITH RECURSIVE n AS (
+            SELECT doc_id, trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')) AS t FROM documents
+        ), c AS (
+            SELECT t, min(doc_id) AS rep, count(*) AS n_copies FROM n WHERE t <> '' GROUP BY t
+        ), w AS (
+            SELECT rep, t, string_split(t, ' ') AS ws FROM c
+        ), g AS (
+            SELECT DISTINCT rep, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram
+            FROM (SELECT rep, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) >= 3)
+            UNION ALL SELECT rep, t FROM w WHERE len(ws) < 3
+        ), s AS (
+            SELECT rep, count(*) AS n FROM g GROUP BY rep
+        ), e AS (
+            SELECT a, b FROM (SELECT x.rep AS a, y.rep AS b, count(*) AS shared FROM g x JOIN g y USING (gram) WHERE x.rep < y.rep GROUP BY ALL)
+            JOIN s p ON a = p.rep JOIN s q ON b = q.rep WHERE shared / (p.n + q.n - shared) >= 0.5
+        ), both_ways AS (
+            SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+        ), reach AS (
+            SELECT rep AS v, rep AS l FROM c UNION SELECT both_ways.b, reach.l FROM reach JOIN both_ways ON reach.v = both_ways.a
+        ), k AS (
+            SELECT v, min(l) AS class_id FROM reach GROUP BY v
+        ), d AS (
+            SELECT a AS v, count(*) AS n_links FROM both_ways GROUP BY a
+        )
+        SELECT n.doc_id, coalesce(k.class_id, n.doc_id) AS class_id, coalesce(c.rep, n.doc_id) AS copy_of,
+               coalesce(c.n_copies, 1) AS n_copies, coalesce(d.n_links, 0) AS n_links,
+               coalesce(k.class_id, n.doc_id) = n.doc_id AS kept
+        FROM n LEFT JOIN c USING (t) LEFT JOIN k ON c.rep = k.v LEFT JOIN d ON c.rep = d.v
+    """,
 }
