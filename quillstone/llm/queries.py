@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import host_rules, mixing, ngram_join, packing, repair, site_quality, topk_search
+from quillstone.llm import host_rules, line_dedup, mixing, ngram_join, packing, repair, site_quality, topk_search
 from quillstone.session import read_table
 
 
@@ -22,6 +22,11 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return left.select("doc.doc_id", "text", F.size("spans").cast("long").alias("n_removed"), "spans")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = ngram_join.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "copy_of", "n_copies", "n_links", "kept")
@@ -54,6 +59,7 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_quality": op1_site_quality,
     "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_repair_token_ids": op5_repair_token_ids,
     "op6_exact_top_k": op6_exact_top_k,
