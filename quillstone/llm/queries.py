@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import host_rules, line_dedup, mixing, ngram_join, packing, repair, site_quality, topk_search
+from quillstone.llm import host_rules, license_scan, line_dedup, mixing, ngram_join, packing, repair, site_quality, topk_search
 from quillstone.session import read_table
 
 
@@ -56,6 +56,10 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("detections")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_quality": op1_site_quality,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_top_k": op6_exact_top_k,
     "op7_host_rules": op7_host_rules,
     "op9_harmonic_packing": op9_harmonic_packing,
+    "op10_license_signatures": op10_license_signatures,
 }
 
 ORACLE_SQL: dict[str, str] = {
