@@ -1,8 +1,8 @@
 """Near-duplicate texts: MinHash banding over word n-grams, pairs verified on their full n-gram sets.
 
 DataFrame operations alone. Texts of equal words are collapsed into one class first, so copies cost one row each and
-never meet in pairs. Signatures are codegen'd minima over exploded n-grams, reduced before their shuffle to one
-row a class. Bands are shuffled on their hashes; a large bucket is cut into blocks of members, and pairs are made
+never meet in pairs. Signatures are made within a row, by one-permutation hashing: as many hash functions as a band has rows,
+each giving one value for every band. Bands are shuffled on their hashes; a large bucket is cut into blocks of members, and pairs are made
 block against block, so that a hot bucket spreads over many tasks. Each pair is verified once: n-gram sets are sent to blocks
 of at most about ``2 * BLOCK`` texts that share a bucket, not once a pair. Groups are connected components of the verified
 links.
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
-from quillstone.session import checkpointed
+from quillstone.session import checkpointed, written
 
 PRIME = (1 << 31) - 1
 BLOCK = 64
@@ -76,24 +76,54 @@ def _key(norm: Column) -> Column:
     return F.unhex(F.md5(norm.cast("binary")))
 
 
-def _minima(hashes: int, seed: int) -> list[Column]:
-    """Minima of universal hash functions of the gram, kept below 2**31 so that nothing overflows."""
+def one_permutation(grams: Column, bins: int, a: int, b: int) -> Column:
+    """``bins`` MinHash values of a gram set by one hash function: the minimum of each part of the hash range.
+
+    An empty part takes the minimum of the next part that has one, marked by the distance, going round at the end. The hash is
+    universal over 31-bit fingerprints and stays below 2**62.
+    """
+    width = -(-PRIME // bins)
+    part = lambda x: F.floor(x / width)
+    long = lambda x: F.lit(x).cast("long")
+    far = lambda x, distance: x + distance * PRIME
+
+    def spread(least: Column) -> Column:
+        def slots(x: Column, i: Column) -> Column:
+            first = F.when(i == 0, long(0)).otherwise(part(F.get(least, i - 1)) + 1)
+            return F.transform(F.sequence(first, part(x)), lambda s: far(x, part(x) - s))
+
+        last = part(F.get(least, F.size(least) - 1))
+        wrapped = F.transform(F.sequence(last + 1, long(bins - 1)), lambda s: far(F.get(least, F.lit(0)), bins - s + part(F.get(least, F.lit(0)))))
+        parts = F.flatten(F.transform(least, slots))
+        return F.when(last < bins - 1, F.concat(parts, wrapped)).otherwise(parts)
+
+    def minima(hashes: Column) -> Column:
+        least = F.filter(hashes, lambda x, i: (i == 0) | (part(x) != part(F.get(hashes, i - 1))))
+        return F.transform(F.array(least), spread)[0]
+
+    hashed = F.transform(grams, lambda g: (F.shiftrightunsigned(g, 33) * long(a) + long(b)) % long(PRIME))
+    return F.transform(F.array(F.sort_array(hashed)), minima)[0]
+
+
+def band_hashes(grams: Column, bands: int, rows: int, seed: int) -> Column:
+    """A hash of each band; row r of all bands comes from hash function r, so a band's rows are independent."""
     rng = random.Random(seed)
-    gram = F.col("gram31")
-    return [
-        F.min((gram * F.lit(rng.randrange(1, PRIME)).cast("long") + F.lit(rng.randrange(PRIME)).cast("long")) % F.lit(PRIME).cast("long")).alias(f"m{i}")
-        for i in range(hashes)
-    ]
+
+    def of(g: Column) -> Column:
+        signatures = F.array(*(one_permutation(g, bands, rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(rows)))
+        return F.transform(F.array(signatures), lambda m: F.transform(
+            F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, *(F.get(F.get(m, F.lit(r)), b) for r in range(rows)))
+        ))[0]
+
+    return F.transform(F.array(grams), of)[0]
 
 
 def candidate_pairs(prepared: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
     """a < b: rows of classes that share a band; hub: the least row of such a bucket."""
-    grams = _wordy(prepared).select(_key(F.col("norm")).alias("key"), F.explode_outer(grams_of(F.col("norm"), n)).alias("gram"))
-    slim = grams.select("key", F.shiftrightunsigned("gram", 33).alias("gram31"))
-    signed = slim.groupBy("key").agg(*_minima(bands * rows, seed)).join(classes.select("key", "rep"), "key")
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands)]
-    placed = signed.select("rep", F.explode(F.array(*keys)).alias("band")).repartition("band")
-    placed = checkpointed(placed)
+    signed = _wordy(prepared).select("row", band_hashes(grams_of(F.col("norm"), n), bands, rows, seed).alias("bands"))
+    signed = signed.join(classes.select(F.col("rep").alias("_rep")), F.col("row") == F.col("_rep"), "left_semi")
+    placed = signed.select(F.col("row").alias("rep"), F.explode_outer("bands").alias("band"))
+    placed = written(placed, "bands")
     buckets = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
     held = placed.join(buckets, "band")
     parts = F.ceil(F.col("n") / BUCKET_BLOCK)
