@@ -35,6 +35,8 @@ from quillstone.session import checkpointed
 BLOCK = 64
 #: sources up to this number are broadcast (a row is under 200 bytes); more are joined by shuffle
 BROADCAST_SOURCES = 20_000
+#: rows of two longs up to this number are broadcast (16 MB); more are joined by shuffle
+BROADCAST_ROWS = 500_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -145,7 +147,8 @@ def mix(
 
     Sources in code point order, null last, take ``weights`` in turn and share ``share`` times all
     words, none above ``cap`` times its own. Returns the id, source, size, source_size, target,
-    copies and taken (copies times size), a row for each row of ``docs``, whose other columns are dropped.
+    copies, taken (copies times size) and row (the position that ``monotonically_increasing_id`` gives), a row for each row
+    of ``docs``, whose other columns are dropped.
     """
     sized = docs.select(
         F.col(id_col).alias(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
@@ -177,5 +180,14 @@ def mix(
         rated.join(drawn, "row", "left")
         .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(id_col, "source", "size", "source_size", "target", "copies", "taken")
+        .select(id_col, "source", "size", "source_size", "target", "copies", "taken", "row")
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; all columns as they came."""
+    drawn = checkpointed(mix(docs, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")))
+    taken = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
+    rows = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_at", F.monotonically_increasing_id())
+    repeated = rows.join(taken, F.col("_at") == F.col("_row")).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return repeated.select("_doc.*")

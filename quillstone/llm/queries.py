@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import host_rules, license_scan, line_dedup, mixing, ngram_join, packing, repair, site_quality, topk_search
+from quillstone.llm import host_rules, license_scan, line_dedup, mixing, ngram_join, packing, ppm_language, repair, site_quality, topk_search
 from quillstone.session import read_table
 
 
@@ -51,6 +51,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_language.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read_table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repair_token_ids": op5_repair_token_ids,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_host_rules": op7_host_rules,
+    "op8_ppm_language": op8_ppm_language,
     "op9_harmonic_packing": op9_harmonic_packing,
     "op10_license_signatures": op10_license_signatures,
 }
