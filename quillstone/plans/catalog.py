@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from quillstone.plans import document_queries, entity_queries, retrieval_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **document_queries.QUERIES, **entity_queries.QUERIES, **retrieval_queries.QUERIES
+}
+ORACLE_SQL: dict[str, str] = {**document_queries.ORACLE_SQL, **entity_queries.ORACLE_SQL, **retrieval_queries.ORACLE_SQL}
