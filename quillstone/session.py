@@ -64,3 +64,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: logical nodes that leave the rows of a scan in their places, whichever columns are read
+_IN_PLACE = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "View"}
+
+
+def _nodes(plan) -> set[str]:
+    names, children = {plan.nodeName().split(" ")[0]}, plan.children()
+    for i in range(children.size()):
+        names |= _nodes(children.apply(i))
+    return names
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with rows that keep their ``monotonically_increasing_id`` from one reading to the next.
+
+    Scans of files do, with any columns; after a shuffle the places of rows may change with the columns that are read, so
+    such a frame is written to the shared folder and read back.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df if _nodes(plan) <= _IN_PLACE else written(df, "settled")
