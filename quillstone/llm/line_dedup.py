@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import checkpointed, written
+from quillstone.session import checkpointed, settled, written
 
 MIN_UNIT_WORDS = 4
 MIN_WORDS = 30
@@ -132,6 +132,7 @@ def dedup(
 
     The rank of a text is ``rank_col``, or else its id; smaller ranks keep their passages, null ranks come last.
     """
+    docs = settled(docs)
     rank = F.coalesce(F.col(rank_col or id_col).cast("long"), F.lit((1 << 63) - 1))
     ranked = docs.select(F.monotonically_increasing_id().alias("row"), rank.alias("rank"), F.col(text_col).alias("text"))
     spans = checkpointed(repeated_spans(ranked, min_words, least))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.text_units import word_count
-from quillstone.session import checkpointed
+from quillstone.session import checkpointed, settled
 
 BLOCK = 64
 #: sources up to this number are broadcast (a row is under 200 bytes); more are joined by shuffle
@@ -186,6 +186,7 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; all columns as they came."""
+    docs = settled(docs)
     drawn = checkpointed(mix(docs, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")))
     taken = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
     rows = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_at", F.monotonically_increasing_id())

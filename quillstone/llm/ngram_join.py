@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
-from quillstone.session import checkpointed, written
+from quillstone.session import checkpointed, settled, written
 
 PRIME = (1 << 31) - 1
 BLOCK = 64
@@ -171,6 +171,7 @@ def near_duplicates(
     links: a, b (rows) and jaccard, for all linked pairs of different texts.
     ``row`` is the position that ``monotonically_increasing_id`` gives a row of ``docs``.
     """
+    docs = settled(docs)
     bands, rows = choose_bands(threshold, recall, hashes)
     prepared = _prepared(docs, id_col, text_col)
     norm = F.nullif(normalised(F.col("text")), F.lit(""))
@@ -214,6 +215,7 @@ def text_classes(keyed: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; all columns as they came."""
+    docs = settled(docs)
     found, _ = near_duplicates(docs, id_col, text_col, **options)
     dropped = checkpointed(found.where("NOT kept").select(F.col("row").alias("_row")))
     gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped

@@ -112,7 +112,7 @@ def classify(
     )
     known = slim.join(truth, F.col("_id") == F.col("_label_id"))
     rows = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).select(features(F.col("_counts")).alias("x"), "_label").collect()
-    x = np.asarray([r.x for r in rows], dtype=float).reshape(len(rows), -1)
+    x = np.asarray([r.x for r in rows], dtype=float).reshape(len(rows), len(rows[0].x) if rows else 0)
     weights, intercept = fit_logistic(x, np.asarray([r._label >= 0.5 for r in rows], dtype=float))
     odds = document_odds(F.col(text_col), weights.tolist(), intercept) if len(weights) else F.lit(float(intercept))
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.session import settled
+
 TILE_BITS = 16
 QUERY_BLOCK = 4096
 FAN_IN = 64
@@ -96,7 +98,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, id_col: str, vector_col: str,
     other columns are ignored. Returns query_id, rank (from 1), id, score.
     """
     def part(df: DataFrame) -> DataFrame:
-        kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
+        kept = settled(df).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
         return kept.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("row", F.monotonically_increasing_id())
 
     asked, held = part(queries), part(vectors)
