@@ -21,6 +21,8 @@ def get_session(app: str = "quillstone", master: str | None = None, shuffle_part
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):  # one JVM holds all
+            builder = builder.config("spark.driver.memory", os.environ.get("QUILLSTONE_LOCAL_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
