@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import parse, text
 from quillstone.operators import sentences, spans
 from quillstone.session import read_table
+from quillstone.sources import markup
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -259,3 +260,8 @@ def q_abbreviations(spark, sf_dir):
 def q_offset_map(spark, sf_dir):
     mapped = read_table(spark, sf_dir, "documents").select("doc_id", spans.offset_map(F.col("text")).alias("m"))
     return mapped.select("doc_id", F.length("m.text").cast("long").alias("n"), F.element_at("m.places", -1).alias("last_place"))
+
+
+@query()
+def q_html_markdown(spark, sf_dir):
+    return markup.markdown_of(read_table(spark, sf_dir, "pages"), "page_id", "html")
