@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,7 +29,23 @@ def get_session(app: str = "quillstone", master: str | None = None, shuffle_part
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless their Python path or working folder has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    reached = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if root in reached or context.applicationId in _shipped:
+        return
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='quillstone-')}/quillstone", "zip", root, "quillstone")
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
