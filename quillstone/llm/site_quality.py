@@ -111,7 +111,11 @@ def classify(
         F.avg(F.col(label_col).cast("double")).alias("_label")
     )
     known = slim.join(truth, F.col("_id") == F.col("_label_id"))
-    rows = known.orderBy(F.xxhash64("_id"), "_id").limit(sample).select(features(F.col("_counts")).alias("x"), "_label").collect()
+    # a share of hashes that gives a little more than the sample, so that tasks send the driver no more than it keeps
+    lot = F.shiftrightunsigned(F.xxhash64("_id"), 11).cast("double") / float(2**53)
+    share = min(1.0, 1.2 * sample / max(1, truth.count()))
+    drawn = known.where(lot < share).orderBy(lot, "_id").limit(sample)
+    rows = drawn.select(features(F.col("_counts")).alias("x"), "_label").collect()
     x = np.asarray([r.x for r in rows], dtype=float).reshape(len(rows), len(rows[0].x) if rows else 0)
     weights, intercept = fit_logistic(x, np.asarray([r._label >= 0.5 for r in rows], dtype=float))
     odds = document_odds(F.col(text_col), weights.tolist(), intercept) if len(weights) else F.lit(float(intercept))
