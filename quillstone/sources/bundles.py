@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import document_id
 from quillstone.sources.markup import article_markdown
 
-IDENTIFIERS = "struct<pmid:string,doi:string,pmcid:string,neurostore:string>"
+KNOWN = ("pmid", "doi", "pmcid")
 PATH = r"([^/]+)/source/([^/]+)/(.+)$"
 
 
@@ -34,10 +34,12 @@ def primary(provider: Column, name: Column) -> Column:
 
 
 def identifiers(spark: SparkSession, root: str) -> DataFrame:
-    """hash_id and its identifiers, trimmed, null for blank ones."""
+    """hash_id and its identifiers, trimmed, null for blank ones; ``store`` is the first of the other keys, a store's own id."""
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "identifiers.json").text(root)
-    parsed = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/identifiers\.json$", 1).alias("hash_id"), F.from_json("value", IDENTIFIERS).alias("i"))
-    clean = [F.nullif(F.trim(F.col(f"i.{f}")), F.lit("")).alias(f) for f in ("pmid", "doi", "pmcid", "neurostore")]
+    parsed = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/identifiers\.json$", 1).alias("hash_id"), F.from_json("value", "map<string,string>").alias("i"))
+    others = F.map_filter("i", lambda k, v: ~k.isin(*KNOWN) & (F.trim(v) != ""))
+    store = F.try_element_at(others, F.array_min(F.map_keys(others))).alias("store")
+    clean = [*(F.nullif(F.trim(F.try_element_at("i", F.lit(k))), F.lit("")).alias(k) for k in KNOWN), F.trim(store).alias("store")]
     return parsed.select("hash_id", *clean)
 
 
@@ -52,8 +54,8 @@ def discover(spark: SparkSession, root: str, providers: list[str] | None = None)
         F.sort_array(F.collect_list(F.struct("name", F.decode("content", "UTF-8").alias("content")))).alias("tables")
     )
     named = articles.join(tables, ["hash_id", "provider"], "left").join(identifiers(spark, root), "hash_id", "left")
-    made = document_id(F.col("pmid"), F.col("doi"), F.col("pmcid"), F.col("neurostore"), F.col("hash_id"))
-    return named.withColumn("document_id", made).drop("pmid", "doi", "pmcid", "neurostore")
+    made = document_id(F.col("pmid"), F.col("doi"), F.col("pmcid"), F.col("store"), F.col("hash_id"))
+    return named.withColumn("document_id", made).drop("pmid", "doi", "pmcid", "store")
 
 
 def extract(bundles: DataFrame, pdf_reader=None) -> DataFrame:
