@@ -76,7 +76,7 @@ def is_reference_line(line: Column) -> Column:
 
 def safe_name(value: Column) -> Column:
     """Letters, digits, dot, underscore and dash stay; other runs become one underscore."""
-    return F.regexp_replace(value, "[^A-Za-z0-9._-]+", "_")
+    return F.regexp_replace(value, r"[^\w.-]+", "_")
 
 
 def table_ref(value: Column) -> Column:
@@ -97,7 +97,7 @@ def document_id(pmid: Column, doi: Column, pmcid: Column, store: Column, fallbac
 
 def enum_text(value: Column) -> Column:
     """Underscores, slashes and camel case become spaces; lower case."""
-    spaced = F.regexp_replace(F.regexp_replace(value, "[_/]", " "), "([a-z0-9])([A-Z])", "$1 $2")
+    spaced = F.regexp_replace(F.regexp_replace(value, "[_/]", " "), "(?<=[a-z0-9])(?=[A-Z])", " ")
     return F.lower(collapse(spaced))
 
 

@@ -89,7 +89,7 @@ def text_documents(spark: SparkSession, root: str) -> DataFrame:
     pick = lambda *names: F.coalesce(*(F.when(F.trim(F.get_json_object("value", f"$.{n}")) != "", F.get_json_object("value", f"$.{n}")) for n in names))
     parts = F.from_json(F.get_json_object("value", "$.sections"), "array<string>")
     said = F.transform(parts, lambda s: F.coalesce(F.get_json_object(s, "$.text"), F.get_json_object(s, "$.content"), s))
-    text = F.coalesce(pick("text", "markdown", "content", "document_text", "full_text"), F.nullif(F.array_join(F.filter(said, lambda s: F.trim(s) != ""), "\n\n"), F.lit("")))
+    text = F.coalesce(pick(*"text markdown content document_text full_text".split()), F.nullif(F.array_join(F.filter(said, lambda s: F.trim(s) != ""), "\n\n"), F.lit("")))
     text = F.coalesce(text, F.raise_error(F.concat(F.lit("no text in "), "source_path")))
-    name = F.coalesce(pick("document_id", "doc_id", "id", "metadata.document_id"), stem)
+    name = F.coalesce(pick(*"document_id doc_id id metadata.document_id".split()), stem)
     return rows.select(F.when(is_json, name).otherwise(stem).alias("document_id"), F.when(is_json, text).otherwise(F.col("value")).alias("text"), "source_path")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SKIPPED = {"script", "style", "nav", "aside", "footer", "header"}
+SKIPPED = set("aside footer header nav script style".split())
 HEADINGS = {f"h{i}": i for i in range(1, 7)}
 CLOSERS = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -187,7 +187,7 @@ def any_table(node: Node) -> str:
 
 
 def plain_ref(ref: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "", ref.lower())
+    return "".join(re.findall("[a-z0-9]+", ref.lower()))
 
 
 class Tables:
