@@ -57,7 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(configured)
+        whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        # one slash after a local scheme is Hadoop's way, three are everyone's
+        return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = os.environ.get("QUILLSTONE_LOCAL_DIR") or tempfile.mkdtemp(prefix="quillstone-")
