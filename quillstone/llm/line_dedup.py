@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines and their sentences: each repeated passage stays where it ranks first.
 
-A text is cut into units: lines, cut again after sentence ends and before capitals, so that a passage put into the
-middle of a line has units of its own. A unit is normalised (lower case, one space between words) and units of at least
-``MIN_UNIT_WORDS`` words get a 128-bit digest. Digests are grouped over all texts (partial minima before the shuffle);
+A text is cut into units: lines, cut again after sentence ends and before a capital that follows a word without one, so that a
+passage put into the middle of a line has units of its own. Pieces of fewer than ``MIN_UNIT_WORDS`` words join a neighbour of their
+line, short lines the short lines after them, so all words count but those of short lines that stand alone. In scripts without spaces each Han or kana character is a word, as are four letters of
+Thai, Lao, Khmer and Burmese. A unit is normalised (lower case, one space between words) and gets a 128-bit digest. Digests are grouped over all texts (partial minima before the shuffle);
 the occurrence of the least (rank, start) is kept and every other is a repeat. Neighbouring repeats of a text, with
 the shorter units between them, make up a run; runs of at least ``min_words`` words are removed, so that a stray common sentence
 stays. The removed spans are kept as code point offsets in the original text.
@@ -17,7 +18,8 @@ rows the first stays; a text that repeats within itself keeps its first occurren
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,20 +34,72 @@ HOT = 1000
 #: documents with removals up to this number are broadcast with their spans, if these are few as well
 BROADCAST_SPANS = 200_000
 
-#: a boundary: after a line end, after a sentence end, before a capital
-BOUNDARY = re.compile(r"(?<=\n)|(?<=[.!?] )|(?<= )(?=[^\W\d_a-zß-öø-ÿ])")
+CAPITALS = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isupper() or chr(c).istitle())
+#: a boundary: after a sentence end, or before a capital (what stands before it is looked at in ``pieces``)
+BOUNDARY = re.compile(rf"""[.!?…؟।]["'”’»)\]]* +|[。！？｡]["'”’」』）]*|(?<= )(?=[{CAPITALS}])""")
+#: scripts without spaces: characters that count as words, and letters that do by four
+CHARACTERS = re.compile("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+LETTERS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff]")
+
+
+def word_count(text: str) -> int:
+    if text.isascii():
+        return len(text.split())
+    rest, characters = CHARACTERS.subn(" ", text)
+    rest, letters = LETTERS.subn(" ", rest)
+    return characters + -(-letters // 4) + len(rest.split())
+
+
+def pieces(text: str, at: int, stop: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, words) of the pieces of a line."""
+    for m in BOUNDARY.finditer(text, at, stop):
+        end = m.end()
+        if m.start() == end:
+            before = text[text.rfind(" ", at, end - 1) + 1 or at]
+            if end == at or before.isupper() or before.istitle():
+                continue
+        if end > at:
+            yield at, end, word_count(text[at:end])
+            at = end
+    if stop > at:
+        yield at, stop, word_count(text[at:stop])
+
+
+def joined(found: Iterable[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Pieces of at least ``least`` words: short ones join each other, or the piece before if a long one follows."""
+    out: list[tuple[int, int, int]] = []
+    start, words = -1, 0
+    for begin, end, n in found:
+        if start >= 0 and n >= least and out:
+            out[-1] = (out[-1][0], begin, out[-1][2] + words)
+            start = -1
+        start, words = (begin, n) if start < 0 else (start, words + n)
+        if words >= least:
+            out.append((start, end, words))
+            start, words = -1, 0
+        else:
+            last = end
+    if start >= 0:
+        out[-1:] = [(out[-1][0], last, out[-1][2] + words)] if out else [(start, last, words)]
+    return out
 
 
 def units_of(text: str, least: int = MIN_UNIT_WORDS) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words, normalised) of the units of at least ``least`` words."""
-    at = 0
-    for end in [m.start() for m in BOUNDARY.finditer(text)] + [len(text)]:
-        if end <= at:
-            continue
-        words = text[at:end].split()
-        if len(words) >= least:
-            yield at, end, len(words), " ".join(words).lower()
-        at = end
+    """(start, end, words, normalised) of the units, which have at least ``least`` words."""
+    start, short, at = 0, 0, 0
+    while at < len(text):
+        stop = text.find("\n", at) + 1 or len(text)
+        units = joined(pieces(text, at, stop), least)
+        if units[0][2] < least:
+            # a short line
+            short += units[0][2]
+            units = [(start, stop, short)] if short >= least else []
+            short, start = (0, stop) if units else (short, start)
+        else:
+            short, start = 0, stop
+        for begin, end, words in units:
+            yield begin, end, words, " ".join(text[begin:end].split()).lower()
+        at = stop
 
 
 UNIT = "row long, rank long, nth long, start long, end long, words long, digest binary"

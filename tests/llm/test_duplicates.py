@@ -148,3 +148,49 @@ def test_hot_digest_and_awkward(spark, monkeypatch, awkward, empty):
     assert found.count() == len(awkward_rows()) and found.select("doc.*").columns == awkward.columns
     assert found.where("doc.text IS NULL AND text IS NOT NULL").isEmpty()
     assert line_dedup.dedup(empty).count() == 0
+
+
+#: a repeated passage each: Cyrillic, capitals, German, Chinese, Thai, Devanagari, title case, a list of short lines
+PASSAGES = {
+    "ru": "Все права на этот текст принадлежат издателю и его авторам. Любое копирование без письменного согласия издателя запрещено законом. "
+          "Читатель может сохранить одну копию для личного пользования, если он не меняет её содержания. За подробностями обращайтесь в нашу редакцию по обычной почте.",
+    "caps": "THE SELLER MAKES NO WARRANTY OF ANY KIND WITH REGARD TO THIS MATERIAL. IN NO EVENT SHALL THE SELLER BE HELD LIABLE FOR ERRORS CONTAINED HEREIN OR FOR DAMAGES ARISING FROM ITS USE BY ANY PERSON.",
+    "de": "Der Verkäufer haftet für Schäden der Ware nur, wenn der Käufer den Mangel binnen einer Woche der Leitung des Hauses anzeigt. Die Kosten der Rückgabe trägt der Käufer, "
+          "sofern Ware und Rechnung der Bestellung entsprechen. Das Recht auf Minderung bleibt davon in jedem Fall unberührt.",
+    "zh": "本网站的所有内容均受版权法保护。未经出版者书面许可，任何人不得复制、转载或以其他方式使用。如有疑问，请与编辑部联系。",
+    "th": "เนื้อหาทั้งหมดในเว็บไซต์นี้ได้รับการคุ้มครองตามกฎหมายลิขสิทธิ์ ห้ามคัดลอกหรือเผยแพร่โดยไม่ได้รับอนุญาตเป็นลายลักษณ์อักษรจากผู้จัดพิมพ์ หากมีข้อสงสัยโปรดติดต่อกองบรรณาธิการตามที่อยู่ด้านล่าง",
+    "hi": "इस लेख के सभी अधिकार प्रकाशक के पास सुरक्षित हैं। बिना लिखित अनुमति के कोई भी इसे नहीं छाप सकता। अधिक जानकारी के लिए कृपया हमारे कार्यालय से डाक द्वारा संपर्क करें और उत्तर की प्रतीक्षा करें।",
+    "title": "Terms And Conditions Of Sale For All Goods Sold By The Company To Any Buyer At Any Place And Time Whether In Person Or By Post Or By Telephone Or By Any Other Means Known.",
+    "list": "\n".join(f"{x} one {x}" for x in "abcdefghijkl"),
+}
+
+
+def test_words_of_all_scripts_count():
+    for name, passage in PASSAGES.items():
+        units = list(line_dedup.units_of(passage + "\n"))
+        assert sum(u[2] for u in units) == line_dedup.word_count(passage) >= line_dedup.MIN_WORDS, name
+        assert "".join((passage + "\n")[a:b] for a, b, _, _ in units) == passage + "\n", name
+
+
+def test_repeated_passages_of_all_scripts_go(spark):
+    own = {i: f"own{i} " + prose(900 + i, 40) for i in range(3 * len(PASSAGES))}
+    rows = []
+    for k, passage in enumerate(PASSAGES.values()):
+        # a line of its own, and after a sentence within a line
+        rows += [(3 * k, own[3 * k] + ".\n" + passage + "\n"), (3 * k + 1, own[3 * k + 1] + ".\n" + passage + "\n"), (3 * k + 2, own[3 * k + 2] + ". " + passage + "\n")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA).repartition(3)
+    found = {r.doc.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    for k, (name, passage) in enumerate(PASSAGES.items()):
+        assert not found[3 * k].spans, name
+        assert found[3 * k + 1].text == own[3 * k + 1] + ".\n", name
+        if name != "list":
+            assert found[3 * k + 2].text.startswith(own[3 * k + 2] + ".") and len(found[3 * k + 2].text) < len(own[3 * k + 2]) + len(passage) / 2, name
+
+
+def test_short_pieces_join_within_bounds():
+    text = "Yes. No. Yes. No. Yes. No. Yes. " * 20 + "a long enough piece of words. Ok. " + "The last one is long as well."
+    units = list(line_dedup.units_of(text))
+    assert "".join(text[a:b] for a, b, _, _ in units) == text and all(4 <= n <= 11 for _, _, n, _ in units)
+    for odd in ("", "\n\n", " ", "A", "\nA b\n\nc", "。。", "A. B", " A"):
+        for a, b, n, norm in line_dedup.units_of(odd):
+            assert n >= 4 and norm
