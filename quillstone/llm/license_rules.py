@@ -56,7 +56,8 @@ RULES += _named("gpl-linking-exception", "linking exception", r"(?:gpl |gcc runt
 # permissive
 RULES += _versions("apache", r"apache(?: software)? licen[sc]e", "apache", ["1.0", "1.1", "2.0"], 16)
 RULES += [("apache-2.0", 15, "apache", r" apache 2(?: 0)?(?: licen[sc]ed?)?(?= )(?! [0-9])"), ("apache-2.0", 14, "apache org licenses", r" apache org licenses licen[sc]e 2 0(?= )")]
-RULES += _named("mit", "mit licen", r"mit licen[sc]ed?", r"(?:under the )?mit x11 licen[sc]e")
+RULES += _named("mit", "mit licen", r"mit licen[sc]ed?")
+RULES += _named("mit", "mit x11 licen", r"(?:under the )?mit x11 licen[sc]e")
 RULES += _named("mit", "expat", r"expat licen[sc]e", r"mit expat")
 RULES += _named("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", priority=15)
 RULES += _named("mit-0", "mit no attribution", r"mit no attribution(?: licen[sc]e)?", priority=15)
@@ -68,7 +69,7 @@ for count, word in (("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")):
 RULES += _named("bsd-3-clause", "bsd", r"(?:new|modified|revised) bsd(?: licen[sc]e)?", priority=16)
 RULES += _named("bsd-2-clause", "bsd", r"(?:simplified|freebsd) bsd(?: licen[sc]e)?", priority=16)
 RULES += _named("bsd-0-clause", "bsd", r"(?:0bsd|zero clause bsd|bsd zero clause)(?: licen[sc]e)?", priority=15)
-RULES += _named("bsd", "bsd licen", r"bsd(?: style)? licen[sc]ed?", priority=40)
+RULES += _named("bsd", "bsd", r"bsd(?: style)? licen[sc]ed?", priority=40)
 RULES += _named("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification are permitted", priority=35)
 RULES += _named("bsd-3-clause", "endorse or promote", r"neither the name of .{1,80}? may be used to endorse or promote products derived from this software", priority=25)
 RULES += _named("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e")
@@ -163,13 +164,13 @@ RULES += _named("cc-pd-mark", "public domain mark", r"(?:creative commons )?publ
 RULES += _named("creative-commons", "creative commons", r"creative commons(?: licen[sc]e)?", priority=60)
 
 # notices
-RULES += _named("reserved", "rights reserved", r"all rights (?:are )?reserved", priority=50)
+RULES += _named("reserved", "reserved", r"all rights (?:are )?reserved", priority=50)
 RULES += _named("some-reserved", "rights reserved", r"some rights reserved", priority=50)
 RULES += _named("proprietary", "proprietary", r"proprietary and confidential", r"confidential and proprietary", r"proprietary licen[sc]e")
 RULES += _named("public-domain", "public domain", r"(?:released|placed|dedicated|is) (?:in|into|to) the public domain", r"in the public domain")
 RULES += _named("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?", priority=70)
 RULES += _named("do-not-distribute", "not be reproduced", r"may not be reproduced(?: or distributed)?(?: in any form)?")
-RULES += _named("do-not-distribute", "do not distribute", r"do not (?:copy or )?distribute")
+RULES += _named("do-not-distribute", "distribute", r"do not (?:copy or )?distribute")
 RULES += _named("permission-required", "written permission", r"without (?:the )?(?:prior |express )*written permission")
 RULES += _named("eula", "end user licen", r"end user licen[sc]e agreement")
 RULES += _named("non-commercial", "commercial use", r"(?:for )?non ?commercial use only", r"not for commercial use")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 import numpy as np
@@ -108,6 +109,46 @@ def test_every_signature_passes_the_gate():
     assert not [r for r in RULES if not any(g in r[2] or g in needs(r[3]) for g in license_scan.GATE)]
 
 
+def a_match(parsed, rng):
+    """A text that a parsed pattern matches; optional parts, branches and characters are drawn."""
+    out = ""
+    for op, what in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(what)
+        elif kind == "ANY":
+            out += "x"
+        elif kind == "IN":
+            of, value = rng.choice(what)
+            out += chr(value) if str(of) == "LITERAL" else chr(rng.randint(*value))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, part = what
+            out += "".join(a_match(part, rng) for _ in range(rng.randint(least, min(most, least + 2))))
+        elif kind == "SUBPATTERN":
+            out += a_match(what[3], rng)
+        elif kind == "BRANCH":
+            out += a_match(rng.choice(what[1]), rng)
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+    return out
+
+
+def test_every_match_holds_the_keyword_and_passes_the_gate():
+    rng = random.Random(5)
+    for _, _, keyword, pattern in RULES:
+        parsed = re._parser.parse(pattern)
+        for _ in range(60):
+            text = a_match(parsed, rng) + " "
+            assert re.search(pattern, text), (pattern, text)
+            assert keyword in text and any(g in text for g in license_scan.GATE), (pattern, text)
+
+
+def test_notices_with_their_optional_parts(spark):
+    cases = {"Under a BSD-style license.": "bsd", "Under the MIT/X11 licence.": "mit", "All rights are reserved.": "reserved", "Do not copy or distribute.": "do-not-distribute"}
+    found = scanned(spark, list(cases))
+    assert {t: found[i].labels for i, t in enumerate(cases)} == cases
+
+
 def scanned(spark, texts):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     return {r.doc_id: r for r in license_scan.scan(docs).collect()}
