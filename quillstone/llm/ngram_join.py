@@ -2,7 +2,8 @@
 
 DataFrame operations alone. Texts of equal words are collapsed into one class first, so copies cost one row each and
 never meet in pairs. Signatures are made within a row, by one-permutation hashing: as many hash functions as a band has rows,
-each giving one value for every band. Bands are shuffled on their hashes; a large bucket is cut into blocks of members, and pairs are made
+each giving one value for every band. Texts of few grams would have the same few values in all bands, so below ``FEW`` grams
+every value has a hash function of its own; texts that may link to one of these have bands of both kinds. Bands are shuffled on their hashes; a large bucket is cut into blocks of members, and pairs are made
 block against block, so that a hot bucket spreads over many tasks. Each pair is verified once: n-gram sets are sent to blocks
 of at most about ``2 * BLOCK`` texts that share a bucket, not once a pair. Groups are connected components of the verified
 links.
@@ -30,6 +31,8 @@ from quillstone.session import checkpointed, settled, written
 PRIME = (1 << 31) - 1
 BLOCK = 64
 BUCKET_BLOCK = 256
+#: texts of fewer grams have independent minima
+FEW = 64
 #: rows of one long up to this number are broadcast (16 MB at most); more are joined by shuffle
 BROADCAST_ROWS = 500_000
 
@@ -105,9 +108,32 @@ def one_permutation(grams: Column, bins: int, a: int, b: int) -> Column:
     return F.transform(F.array(F.sort_array(hashed)), minima)[0]
 
 
-def band_hashes(grams: Column, bands: int, rows: int, seed: int) -> Column:
-    """A hash of each band; row r of all bands comes from hash function r, so a band's rows are independent."""
+def independent_bands(grams: Column, bands: int, rows: int, rng: random.Random) -> Column:
+    """A hash of each band of minima by ``bands * rows`` hash functions; numbered after the bands by one permutation."""
+    functions = F.array(*(F.struct(F.lit(b).alias("band"), F.array(*(
+        F.struct(F.lit(rng.randrange(1, PRIME)).cast("long").alias("a"), F.lit(rng.randrange(PRIME)).cast("long").alias("b")) for _ in range(rows)
+    )).alias("of")) for b in range(bands, 2 * bands)))
+
+    def of(prints: Column) -> Column:
+        least = lambda h: F.array_min(F.transform(prints, lambda x: (x * h["a"] + h["b"]) % F.lit(PRIME).cast("long")))
+        return F.transform(functions, lambda f: F.xxhash64(f["band"], F.transform(f["of"], least)))
+
+    return F.transform(F.array(F.transform(grams, lambda g: F.shiftrightunsigned(g, 33))), of)[0]
+
+
+def band_hashes(grams: Column, bands: int, rows: int, seed: int, threshold: float) -> Column:
+    """A hash of each band. Texts of ``FEW`` grams and more have bands by one permutation, smaller ones and those that may reach
+    the threshold with a smaller one have independent bands, so that any pair meets in bands of one kind."""
+    few = F.size(grams) < FEW
+    reach = F.size(grams) <= math.floor((FEW - 1) / threshold)
+    none = F.array().cast("array<bigint>")
     rng = random.Random(seed)
+    by_parts = permutation_bands(grams, bands, rows, rng)
+    return F.concat(F.when(few, none).otherwise(by_parts), F.when(reach, independent_bands(grams, bands, rows, rng)).otherwise(none))
+
+
+def permutation_bands(grams: Column, bands: int, rows: int, rng: random.Random) -> Column:
+    """Row r of all bands comes from hash function r, so a band's rows are independent."""
 
     def of(g: Column) -> Column:
         signatures = F.array(*(one_permutation(g, bands, rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(rows)))
@@ -118,9 +144,9 @@ def band_hashes(grams: Column, bands: int, rows: int, seed: int) -> Column:
     return F.transform(F.array(grams), of)[0]
 
 
-def candidate_pairs(prepared: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
+def candidate_pairs(prepared: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, seed: int, threshold: float) -> DataFrame:
     """a < b: rows of classes that share a band; hub: the least row of such a bucket."""
-    signed = _wordy(prepared).select("row", band_hashes(grams_of(F.col("norm"), n), bands, rows, seed).alias("bands"))
+    signed = _wordy(prepared).select("row", F.transform(F.array(grams_of(F.col("norm"), n)), lambda g: band_hashes(g, bands, rows, seed, threshold))[0].alias("bands"))
     signed = signed.join(classes.select(F.col("rep").alias("_rep")), F.col("row") == F.col("_rep"), "left_semi")
     placed = signed.select(F.col("row").alias("rep"), F.explode_outer("bands").alias("band"))
     placed = written(placed, "bands")
@@ -177,7 +203,7 @@ def near_duplicates(
     norm = F.nullif(normalised(F.col("text")), F.lit(""))
     keyed = checkpointed(prepared.select("id", "row", _key(norm).alias("key")))
     classes = checkpointed(text_classes(keyed))
-    links = checkpointed(verified_links(prepared, candidate_pairs(prepared, classes, n, bands, rows, seed), n, threshold))
+    links = checkpointed(verified_links(prepared, candidate_pairs(prepared, classes, n, bands, rows, seed, threshold), n, threshold))
     groups = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("n_links"))
 

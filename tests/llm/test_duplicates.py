@@ -87,6 +87,25 @@ def test_one_permutation_recall(spark):
     assert links.count() >= 0.95 * len(near) and len(near) > 30
 
 
+def test_recall_of_short_texts_at_the_threshold(spark):
+    """Pairs at Jaccard 1/2 exactly, of 5 to 44 words, and of about the size at which the kind of band changes."""
+    texts, sizes = [], [2, 4, 6, 8, 14, 20, 28]
+    for i in range(700):
+        # two texts of 3m/2 + 2 words and grams that share the first m of 2m
+        half = sizes[i % len(sizes)] // 2
+        shared = [f"s{i}x{k}" for k in range(2 * half + 2)]
+        texts += [" ".join([*shared, *(f"{side}{i}x{k}" for k in range(half))]) for side in "ab"]
+    for i in range(100):
+        # 60 grams within 90 to 120
+        texts += [" ".join(f"t{i}x{k}" for k in range(n)) for n in (62, 92 + i % 31)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    sets = [grams(t) for t in texts]
+    assert all(jaccard(sets[2 * i], sets[2 * i + 1]) == 0.5 for i in range(700)) and jaccard(sets[1400], sets[1401]) >= 0.5
+    _, links = ngram_join.near_duplicates(docs)
+    found = {min(r.a, r.b) // 2 for r in links.collect()}
+    assert len(found & set(range(700))) >= 0.96 * 700 and len(found & set(range(700, 800))) >= 96
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1040)]
