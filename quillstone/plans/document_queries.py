@@ -230,6 +230,13 @@ def q_term_mentions(spark, sf_dir):
     return english.select("doc_id", text.mentions(F.col("text"), F.lit("the")).cast("long").alias("n_the"))
 
 
+@query()
+def q_term_mentions_all(spark, sf_dir):
+    """Mentions in every document, whatever its language; ``q_term_mentions`` and its SQL read English ones alone."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.mentions(F.col("text"), F.lit("the")).cast("long").alias("n_the"))
+
+
 @query("""
     SELECT p_partkey, '| ' || replace(p_name, '|', '\\|') || ' | ' || p_brand || ' |  |' AS line,
            array_to_string(list_distinct_ordered, ' / ') AS header

@@ -1,5 +1,7 @@
 """Queries over all rows against brute force, beside those whose SQL asks for a part."""
 
+import re
+
 import pyarrow.parquet as pq
 
 from quillstone.operators import retrieval
@@ -27,3 +29,10 @@ def test_exact_spans_of_cut_words_and_short_passages(spark):
     rows = spark.createDataFrame(list(enumerate(passages)), "item_id long, asked string")
     found = sorted((r.item_id, r.doc_id or 0, r.span.start) for r in retrieval.exact_spans(docs, rows).collect())
     assert found == [(0, 0, 2), (0, 1, 1), (0, 1, 1), (1, 0, 6), (1, 1, 5), (1, 1, 5), (2, 0, 4), (2, 1, 3), (2, 1, 3), (6, 0, 1), (6, 1, 0), (6, 1, 0)]
+
+
+def test_mentions_in_documents_of_all_languages(spark):
+    docs = table("documents")
+    wanted = {d["doc_id"]: len(re.findall(r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])", d["text"])) for d in docs}
+    found = {r.doc_id: r.n_the for r in catalog.QUERIES["q_term_mentions_all"](spark, BASE).collect()}
+    assert found == wanted and len(found) == len(docs) and any(wanted[d["doc_id"]] for d in docs if d["lang"] != "en")
