@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "quillstone", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -71,6 +74,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder: cuts lineage, survives lost executors."""
+    ship(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
@@ -84,27 +88,69 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
+    ship(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: logical nodes that leave the rows of a scan in their places, whichever columns are read
-_IN_PLACE = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "View"}
+#: logical nodes that neither add rows to a scan nor merge them
+_ROWWISE = {"Project", "Filter", "LogicalRelation", "SubqueryAlias", "View"}
+#: files up to this number are told apart within a row's expression; more by a broadcast join, up to the second number
+_FEW_FILES, _BROADCAST_FILES = 64, 200_000
 
 
-def _nodes(plan) -> set[str]:
-    names, children = {plan.nodeName().split(" ")[0]}, plan.children()
+def _nodes(plan) -> list[str]:
+    names, children = [plan.nodeName().split(" ")[0]], plan.children()
     for i in range(children.size()):
-        names |= _nodes(children.apply(i))
+        names += _nodes(children.apply(i))
     return names
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` with rows that keep their ``monotonically_increasing_id`` from one reading to the next.
+def _plain_path(path: Column) -> Column:
+    """A file's address with one slash after the scheme: Spark writes both one and three."""
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
 
-    Scans of files do, with any columns; after a shuffle the places of rows may change with the columns that are read, so
-    such a frame is written to the shared folder and read back.
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``doc`` (the row as it came, a struct) and ``row``, a number that stays with a row.
+
+    The number is made of the file's place among the sorted files and the row's place in the file. Both are facts about the data, so they
+    do not change with the splits of a scan, the columns read, or the executors alive, as ``monotonically_increasing_id`` does. What is not
+    a plain scan of Parquet files is written to the shared folder first.
     """
+    ship(df.sparkSession)
     plan = df._jdf.queryExecution().optimizedPlan()
-    return df if _nodes(plan) <= _IN_PLACE else written(df, "settled")
+    names = _nodes(plan)
+    if not set(names) <= _ROWWISE or names.count("LogicalRelation") != 1 or not plan.deterministic():
+        df = written(df, "numbered")
+    try:
+        return _by_file(df)
+    except AnalysisException:  # another format, or a projection that hides the files
+        return _by_file(written(df, "numbered"))
+
+
+def _by_file(df: DataFrame) -> DataFrame:
+    where = df.metadataColumn("_metadata")
+    place = where["row_index"].cast("long")
+    at = lambda file: F.shiftleft(file.cast("long"), 40) + place
+    files = sorted({re.sub("^([A-Za-z0-9+.-]+):/+", r"\1:/", f) for f in df.inputFiles()})
+    doc = F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("doc")
+    if len(files) <= 1:
+        return df.select(doc, place.alias("row"))
+    if len(files) <= _FEW_FILES:
+        return df.select(doc, at(F.array_position(F.array(*map(F.lit, files)), _plain_path(where["file_path"]))).alias("row"))
+    known = df.sparkSession.createDataFrame(list(enumerate(files)), "_n long, _file string")
+    rows = df.select(doc, place.alias("_place"), _plain_path(where["file_path"]).alias("_path"))
+    joined = rows.join(F.broadcast(known) if len(files) <= _BROADCAST_FILES else known, F.col("_path") == F.col("_file"), "left")
+    number = F.coalesce("_n", F.raise_error(F.concat(F.lit("not among the files of the scan: "), "_path")).cast("long"))
+    return joined.select("doc", (F.shiftleft(number, 40) + F.col("_place")).alias("row"))
+
+
+#: logical nodes that leave the rows of a scan in their places, whichever columns are read
+_IN_PLACE = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "View"}
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with rows that keep their ``monotonically_increasing_id`` while the splits stay as they are."""
+    return df if set(_nodes(df._jdf.queryExecution().optimizedPlan())) <= _IN_PLACE else written(df, "settled")
