@@ -2,15 +2,15 @@
 
 A text is normalised to lower-cased words (ASCII) with one space between. The base phrases are found as words that stand one
 after the other. Beyond these, some hundreds of patterns (``license_rules``) run, each only on texts that hold its keyword; a first
-look for the few parts that every match must hold spares most texts even that. Overlapping detections are settled by order:
-a detection goes if another of lower priority number overlaps it, and among equals if it lies within a longer one. The whole
-scan is a projection: no text is shuffled.
+look for the few parts that every match must hold spares most texts even that. Overlapping detections are settled by order, the
+best first: a detection goes if one that stayed overlaps it and has a lower priority number, or has the same one and holds it whole. What
+a suppressed detection overlaps is not suppressed by it. The whole scan is a projection: no text is shuffled.
 
 ``score`` is 0 without detections, and else 1 - product(1 - s), s being 0.9 for a detection that names a version, 0.6 for
 others, each counted once a label.
 
-Defined results: null texts are empty, with no words and no labels; base labels stay whatever the signatures find; tied detections (same span
-and priority) go by label; an empty table gives no rows; other columns are dropped.
+Defined results: null texts are empty, with no words and no labels; base labels stay whatever the signatures find; of detections with the same span
+and priority the first label stays; an empty table gives no rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.license_rules import RULES
+from quillstone.llm.text_units import appended
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: every match of a signature holds one of these (checked in tests/llm)
@@ -71,41 +72,68 @@ def rule_table() -> Column:
     ))
 
 
+def no_hits() -> Column:
+    return F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("order"), F.lit("").alias("label"))), 1, 0)
+
+
 def detections(norm: Column) -> Column:
     """Array of (start, end, order, label): all matches of the signatures, in code points of ``norm``."""
-    hit = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("order"), F.lit("").alias("label"))
 
     def matches(rule: Column) -> Column:
         found = F.regexp_extract_all(norm, rule["pattern"], F.lit(0))
         # the text between matches gives their places
         between = F.split(norm, rule["pattern"])
         pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, text: F.struct(F.length(gap).alias("gap"), F.length(text).alias("len")))
-        start = F.struct(F.lit(0).alias("at"), F.slice(F.array(hit), 1, 0).alias("hits"))
+        start = F.struct(F.lit(0).alias("at"), F.slice(F.array(no_hits()), 1, 0).alias("done"), no_hits().alias("last"))
 
         def step(state: Column, pair: Column) -> Column:
             begin = state["at"] + pair["gap"]
-            return F.struct(
-                (begin + pair["len"]).alias("at"),
-                F.array_append(state["hits"], F.struct(begin.alias("start"), (begin + pair["len"]).alias("end"), rule["order"].alias("order"), rule["label"].alias("label"))).alias("hits"),
-            )
+            hit = F.struct(begin.alias("start"), (begin + pair["len"]).alias("end"), rule["order"].alias("order"), rule["label"].alias("label"))
+            done, last = appended(state["done"], state["last"], hit)
+            return F.struct((begin + pair["len"]).alias("at"), done.alias("done"), last.alias("last"))
 
-        return F.aggregate(pairs, start, step, lambda s: s["hits"])
+        return F.aggregate(pairs, start, step, lambda s: F.flatten(F.array_append(s["done"], s["last"])))
 
     live = F.filter(rule_table(), lambda rule: F.contains(norm, rule["keyword"]))
     return F.array_distinct(F.flatten(F.transform(live, matches)))
 
 
-def settled(hits: Column) -> Column:
-    """Detections that no better one suppresses."""
+def clusters(hits: Column) -> Column:
+    """Detections in groups of which none overlaps another; words that share the space between them do not overlap."""
+    none = F.slice(F.array(no_hits()), 1, 0)
+    start = F.struct(F.lit(0).alias("far"), F.slice(F.array(none), 1, 0).alias("done"), none.alias("last"), no_hits().alias("open"))
+
+    def step(state: Column, hit: Column) -> Column:
+        done, last = appended(state["done"], state["last"], state["open"])
+        apart = hit["start"] >= state["far"] - 1
+        return F.struct(
+            F.greatest(state["far"], hit["end"]).alias("far"), F.when(apart, done).otherwise(state["done"]).alias("done"),
+            F.when(apart, last).otherwise(state["last"]).alias("last"), F.when(apart, F.array(hit)).otherwise(F.array_append(state["open"], hit)).alias("open"),
+        )
+
+    return F.aggregate(F.array_sort(hits), start, step, lambda s: F.array_append(F.flatten(F.array_append(s["done"], s["last"])), s["open"]))
+
+
+def best_of(cluster: Column) -> Column:
+    """The detections of a cluster that stay, taken in order of priority, length, place and label."""
+    key = F.transform(cluster, lambda h: F.struct(h["order"].alias("order"), (h["start"] - h["end"]).alias("less"), h["start"].alias("start"), h["label"].alias("label")))
+
+    def step(kept: Column, k: Column) -> Column:
+        y = F.struct(k["start"].alias("start"), (k["start"] - k["less"]).alias("end"), k["order"].alias("order"), k["label"].alias("label"))
+
+        def suppresses(x: Column) -> Column:
+            overlap = (x["start"] < y["end"] - 1) & (y["start"] < x["end"] - 1)
+            return overlap & ((x["order"] < y["order"]) | ((x["start"] <= y["start"]) & (y["end"] <= x["end"])))
+
+        return F.when(F.exists(kept, suppresses), kept).otherwise(F.array_append(kept, y))
+
+    return F.aggregate(F.array_sort(key), no_hits(), step)
 
-    def better(x: Column, y: Column) -> Column:
-        overlap = (x["start"] < y["end"] - 1) & (y["start"] < x["end"] - 1)
-        inside = (x["start"] <= y["start"]) & (y["end"] <= x["end"])
-        longer = (x["end"] - x["start"]) > (y["end"] - y["start"])
-        same = (x["start"] == y["start"]) & (x["end"] == y["end"])
-        return overlap & ((x["order"] < y["order"]) | ((x["order"] == y["order"]) & inside & (longer | (same & (x["label"] < y["label"])))))
 
-    return F.transform(F.array(hits), lambda all_: F.filter(all_, lambda y: ~F.exists(all_, lambda x: better(x, y))))[0]
+def unsuppressed(hits: Column) -> Column:
+    """Detections that no better one suppresses. A cluster of one is done."""
+    settle = lambda c: F.when(F.size(c) > 1, best_of(c)).otherwise(c)
+    return F.flatten(F.transform(clusters(hits), settle))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,13 +149,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for part in GATE:
         gate = gate | F.contains(F.col("norm"), F.lit(part))
     no_places = F.slice(places_none(), 1, 0)
-    none = F.slice(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0).alias("order"), F.lit("").alias("label"))), 1, 0)
-    found = F.transform(F.array("norm"), lambda n: settled(detections(n)))[0]
+    found = F.transform(F.array("norm"), lambda n: F.transform(F.array(detections(n)), unsuppressed)[0])[0]
     seen = rows.select(
         id_col,
         word_total(F.col("norm")).alias("n_words"),
         F.when(phrase, F.transform(F.array("norm"), lambda n: phrase_places(n, BASE))[0]).otherwise(no_places).alias("places"),
-        F.when(gate, found).otherwise(none).alias("detections"),
+        F.when(gate, found).otherwise(no_hits()).alias("detections"),
     )
     places = F.transform("places", lambda p: p["at"])
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))

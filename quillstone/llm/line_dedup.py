@@ -2,10 +2,11 @@
 
 A text is cut into units: lines, cut again after sentence ends and before a capital that follows a word without one, so that a
 passage put into the middle of a line has units of its own. Pieces of fewer than ``MIN_UNIT_WORDS`` words join a neighbour of their
-line, short lines the short lines after them, so all words count but those of short lines that stand alone. In scripts without spaces each Han or kana character is a word, as are four letters of
-Thai, Lao, Khmer and Burmese. A unit is normalised (lower case, one space between words) and gets a 128-bit digest. Digests are grouped over all texts (partial minima before the shuffle);
-the occurrence of the least (rank, start) is kept and every other is a repeat. Neighbouring repeats of a text, with
-the shorter units between them, make up a run; runs of at least ``min_words`` words are removed, so that a stray common sentence
+line, short lines the short lines after them; a short line between long ones is a unit by itself, so every word lies in a unit. In
+scripts without spaces each Han or kana character is a word, as are four letters of Thai, Lao, Khmer and Burmese. A unit is
+normalised (lower case, one space between words) and gets a 128-bit digest. Digests are grouped over all texts (partial minima before
+the shuffle); the occurrence of the least (rank, start) is kept and every other is a repeat. Repeats of a text that follow each
+other without a unit between them make up a run; runs of at least ``min_words`` words are removed, so that a stray common sentence
 stays. The removed spans are kept as code point offsets in the original text.
 
 Only digests are shuffled in the grouping; occurrences of one digest are spread over salts before they meet its first
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import checkpointed, settled, written
+from quillstone.session import checkpointed, numbered, written
 
 MIN_UNIT_WORDS = 4
 MIN_WORDS = 30
-SALTS = 16
-HOT = 1000
+#: occurrences of one digest that one task joins
+SALT_ROWS = 50_000
 #: documents with removals up to this number are broadcast with their spans, if these are few as well
 BROADCAST_SPANS = 200_000
 
@@ -85,28 +86,36 @@ def joined(found: Iterable[tuple[int, int, int]], least: int) -> list[tuple[int,
 
 
 def units_of(text: str, least: int = MIN_UNIT_WORDS) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words, normalised) of the units, which have at least ``least`` words."""
+    """(start, end, words, normalised) of the units, which cover all words. A unit of fewer than ``least`` words is short lines that none follows."""
     start, short, at = 0, 0, 0
+
+    def unit(begin: int, end: int, words: int) -> tuple[int, int, int, str]:
+        return begin, end, words, " ".join(text[begin:end].split()).lower()
+
     while at < len(text):
         stop = text.find("\n", at) + 1 or len(text)
         units = joined(pieces(text, at, stop), least)
-        if units[0][2] < least:
-            # a short line
+        if units[0][2] < least:  # a short line
             short += units[0][2]
-            units = [(start, stop, short)] if short >= least else []
-            short, start = (0, stop) if units else (short, start)
+            if short >= least:
+                yield unit(start, stop, short)
+                short, start = 0, stop
         else:
+            if short:
+                yield unit(start, at, short)
+            yield from (unit(*u) for u in units)
             short, start = 0, stop
-        for begin, end, words in units:
-            yield begin, end, words, " ".join(text[begin:end].split()).lower()
         at = stop
+    if short:
+        yield unit(start, at, short)
 
 
-UNIT = "row long, rank long, nth long, start long, end long, words long, digest binary"
+#: nth counts the units of a text, before the words ahead of a unit
+UNIT = "row long, rank long, nth long, start long, end long, before long, words long, digest binary"
 
 
 def unit_digests(ranked: DataFrame, least: int) -> DataFrame:
-    """A row for each hashed unit of ``ranked`` (row, rank, text); nth counts the hashed units of a text."""
+    """A row for each unit of ``ranked`` (row, rank, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -115,7 +124,7 @@ def unit_digests(ranked: DataFrame, least: int) -> DataFrame:
 
         def out(found: list) -> pa.RecordBatch:
             columns = list(zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns[:6]] + [pa.array(columns[6], pa.binary())], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns[:7]] + [pa.array(columns[7], pa.binary())], names=names)
 
         found: list = []
         for batch in batches:
@@ -123,8 +132,10 @@ def unit_digests(ranked: DataFrame, least: int) -> DataFrame:
                 value = text.as_py()
                 if not value:
                     continue
+                before = 0
                 for nth, (start, end, words, norm) in enumerate(units_of(value, least)):
-                    found.append((row.as_py(), rank.as_py(), nth, start, end, words, xxhash.xxh3_128_digest(norm)))
+                    found.append((row.as_py(), rank.as_py(), nth, start, end, before, words, xxhash.xxh3_128_digest(norm)))
+                    before += words
                 if len(found) >= 20_000:
                     yield out(found)
                     found = []
@@ -141,33 +152,33 @@ def repeated_spans(ranked: DataFrame, min_words: int = MIN_WORDS, least: int = M
     # the least occurrence and the count of every digest that occurs twice
     groups = units.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = checkpointed(groups)
-    hot = checkpointed(groups.where(F.col("n") > HOT).select("digest"))  # under a thousandth of the units
-    few = F.broadcast(hot.withColumn("hot", F.lit(True))) if hot.count() <= BROADCAST_SPANS else hot.withColumn("hot", F.lit(True))
-    salted = groups.withColumn("salt", F.explode(F.when(F.col("n") > HOT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    marked = units.join(few, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("row", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
-    repeats = marked.join(salted, ["digest", "salt"]).where(~((F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start"))))
-    # runs of neighbouring repeats; a group is one document
-    slim = repeats.select("row", F.struct("nth", "start", "end", "words").alias("u"))
+    hot = checkpointed(groups.where(F.col("n") > SALT_ROWS).select("digest", F.ceil(F.col("n") / SALT_ROWS).alias("salts")))
+    if not hot.isEmpty() and hot.count() <= BROADCAST_SPANS:
+        # occurrences of a frequent digest are spread over salts; with too many such digests the adaptive skew join splits them
+        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / SALT_ROWS) - 1)))
+        marked = units.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.pmod("row", F.coalesce("salts", F.lit(1).cast("long"))))
+        met = marked.join(salted, ["digest", "salt"])
+    else:
+        met = units.join(groups, "digest")
+    repeats = met.where(~((F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start"))))
+    # runs of repeats that follow each other; a group is one document
+    slim = repeats.select("row", F.struct("nth", "start", "end", "before", "words").alias("u"))
     listed = slim.groupBy("row").agg(F.sort_array(F.collect_list("u")).alias("us"))
     spans = listed.select("row", F.filter(runs(F.col("us")), lambda r: r["words"] >= min_words).alias("spans"))
-    return spans.where(F.size("spans") > 0).select("row", F.transform("spans", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["words"].alias("words"))).alias("spans"))
+    return spans.where(F.size("spans") > 0)
 
 
 def runs(units: Column) -> Column:
-    """Neighbouring units (consecutive nth), merged. Only the last run is rebuilt as the fold goes on."""
-    empty = F.struct(
-        F.filter(units, lambda u: F.lit(False)).alias("done"),
-        F.get(units, F.lit(0)).alias("last"),
-    )
+    """(start, end, words) of runs of units with consecutive nth: first and last units are picked, and paired."""
 
-    def step(state: Column, u: Column) -> Column:
-        last = state["last"]
-        joined = F.struct(u["nth"].alias("nth"), last["start"].alias("start"), u["end"].alias("end"), (last["words"] + u["words"]).alias("words"))
-        return F.when(u["nth"] == last["nth"] + 1, F.struct(state["done"].alias("done"), joined.alias("last"))).otherwise(
-            F.struct(F.array_append(state["done"], last).alias("done"), u.alias("last"))
-        )
+    def of(us: Column) -> Column:
+        first = F.filter(us, lambda u, i: (i == 0) | (F.get(us, i - 1)["nth"] + 1 != u["nth"]))
+        last = F.filter(us, lambda u, i: (i == F.size(us) - 1) | (F.get(us, i + 1)["nth"] - 1 != u["nth"]))
+        return F.zip_with(first, last, lambda a, b: F.struct(
+            a["start"].alias("start"), b["end"].alias("end"), (b["before"] + b["words"] - a["before"]).alias("words")
+        ))
 
-    return F.aggregate(F.slice(units, 2, F.greatest(F.size(units), F.lit(1))), empty, step, lambda s: F.array_append(s["done"], s["last"]))
+    return F.transform(F.array(units), of)[0]
 
 
 def without(text: Column, spans: Column) -> Column:
@@ -186,15 +197,15 @@ def dedup(
 
     The rank of a text is ``rank_col``, or else its id; smaller ranks keep their passages, null ranks come last.
     """
-    docs = settled(docs)
-    rank = F.coalesce(F.col(rank_col or id_col).cast("long"), F.lit((1 << 63) - 1))
-    ranked = docs.select(F.monotonically_increasing_id().alias("row"), rank.alias("rank"), F.col(text_col).alias("text"))
+    rows = numbered(docs)
+    held = F.col("doc").getField
+    rank = F.coalesce(held(rank_col or id_col).cast("long"), F.lit((1 << 63) - 1))
+    ranked = rows.select("row", rank.alias("rank"), held(text_col).alias("text"))
     spans = checkpointed(repeated_spans(ranked, min_words, least))
     size = spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
     small = size.n <= BROADCAST_SPANS and size.spans <= BROADCAST_SPANS
     found = spans.withColumnRenamed("row", "_row").withColumnRenamed("spans", "_spans")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("_text")).withColumn("_at", F.monotonically_increasing_id())
-    joined = rows.join(F.broadcast(found) if small else found, F.col("_at") == F.col("_row"), "left")
+    joined = rows.select("doc", held(text_col).alias("_text"), F.col("row").alias("_at")).join(F.broadcast(found) if small else found, F.col("_at") == F.col("_row"), "left")
     left = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(without(F.col("_text"), F.col("_spans")))
     none = F.array().cast("array<struct<start:bigint,end:bigint,words:bigint>>")
     return joined.select("doc", left.alias("text"), F.coalesce("_spans", none).alias("spans"))

@@ -18,7 +18,7 @@ Defined results
     * null and wordless texts have size 0 and are taken 0 times;
     * null sources form one source, ordered last for the weights;
     * an empty table gives an empty result; sources without words have target 0;
-    * repeated ids are separate documents; a rerun over the same files draws the same copies.
+    * repeated ids are separate documents; a rerun over the same files draws the same copies, whatever the splits.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.text_units import word_count
-from quillstone.session import checkpointed, settled
+from quillstone.session import checkpointed, numbered
 
 BLOCK = 64
 #: sources up to this number are broadcast (a row is under 200 bytes); more are joined by shuffle
@@ -147,12 +147,19 @@ def mix(
 
     Sources in code point order, null last, take ``weights`` in turn and share ``share`` times all
     words, none above ``cap`` times its own. Returns the id, source, size, source_size, target,
-    copies, taken (copies times size) and row (the position that ``monotonically_increasing_id`` gives), a row for each row
+    copies, taken (copies times size) and row (the number that ``session.numbered`` gives), a row for each row
     of ``docs``, whose other columns are dropped.
     """
-    sized = docs.select(
-        F.col(id_col).alias(id_col), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
-    ).withColumn("row", F.monotonically_increasing_id())
+    return _mix(numbered(docs), id_col, text_col, source_col, weights, share, cap, seed)
+
+
+def _mix(
+    rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    share: float = 1.5, cap: float = 2.0, seed: int = 20,
+) -> DataFrame:
+    """``mix`` of numbered rows."""
+    doc = F.col("doc")
+    sized = rows.select(doc.getField(id_col).alias(id_col), doc.getField(source_col).alias("source"), word_count(doc.getField(text_col)).alias("size"), "row")
     sized = checkpointed(sized)  # small rows; the texts are read once
 
     cells = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
@@ -186,9 +193,8 @@ def mix(
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; all columns as they came."""
-    docs = settled(docs)
-    drawn = checkpointed(mix(docs, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")))
+    rows = numbered(docs)
+    drawn = checkpointed(_mix(rows, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("copies").alias("_copies")))
     taken = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
-    rows = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_at", F.monotonically_increasing_id())
-    repeated = rows.join(taken, F.col("_at") == F.col("_row")).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return repeated.select("_doc.*")
+    repeated = rows.join(taken, F.col("row") == F.col("_row")).select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return repeated.select("doc.*")

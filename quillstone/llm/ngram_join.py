@@ -3,8 +3,9 @@
 DataFrame operations alone. Texts of equal words are collapsed into one class first, so copies cost one row each and
 never meet in pairs. Signatures are made within a row, by one-permutation hashing: as many hash functions as a band has rows,
 each giving one value for every band. Texts of few grams would have the same few values in all bands, so below ``FEW`` grams
-every value has a hash function of its own; texts that may link to one of these have bands of both kinds. Bands are shuffled on their hashes; a large bucket is cut into blocks of members, and pairs are made
-block against block, so that a hot bucket spreads over many tasks. Each pair is verified once: n-gram sets are sent to blocks
+every value has a hash function of its own; texts that may link to one of these have bands of both kinds. Bands are shuffled on
+their hashes; a large bucket is cut into blocks of members, and pairs are made block against block, so that a hot bucket spreads over
+many tasks. Each pair is verified once: n-gram sets are sent to blocks
 of at most about ``2 * BLOCK`` texts that share a bucket, not once a pair. Groups are connected components of the verified
 links.
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
-from quillstone.session import checkpointed, settled, written
+from quillstone.session import checkpointed, numbered, written
 
 PRIME = (1 << 31) - 1
 BLOCK = 64
@@ -35,6 +36,8 @@ BUCKET_BLOCK = 256
 FEW = 64
 #: rows of one long up to this number are broadcast (16 MB at most); more are joined by shuffle
 BROADCAST_ROWS = 500_000
+#: rows of one class that one task joins, and the classes of more rows that are broadcast (64 bytes each)
+SALT_ROWS, BROADCAST_CLASSES = 50_000, 200_000
 
 
 def choose_bands(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
@@ -64,9 +67,9 @@ def grams_of(norm: Column, n: int) -> Column:
     return F.transform(F.array(F.split(norm, " ")), of)[0]
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.withColumn("row", F.monotonically_increasing_id())
+def _prepared(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    doc = F.col("doc")
+    return rows.select(doc.getField(id_col).cast("long").alias("id"), doc.getField(text_col).alias("text"), "row")
 
 
 def _wordy(prepared: DataFrame) -> DataFrame:
@@ -195,11 +198,14 @@ def near_duplicates(
     documents: row, id, class_id (smallest id of the group of near-duplicates), copy_of (smallest id among texts of equal words),
     n_copies, n_links (different texts linked to this one), kept (true for one row of each group).
     links: a, b (rows) and jaccard, for all linked pairs of different texts.
-    ``row`` is the position that ``monotonically_increasing_id`` gives a row of ``docs``.
+    ``row`` is the number that ``session.numbered`` gives a row of ``docs``.
     """
-    docs = settled(docs)
+    return _near_duplicates(_prepared(numbered(docs), id_col, text_col), n, threshold, recall, hashes, seed)
+
+
+def _near_duplicates(prepared: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98, hashes: int = 96, seed: int = 4) -> tuple[DataFrame, DataFrame]:
+    """``near_duplicates`` of rows (id, text, row)."""
     bands, rows = choose_bands(threshold, recall, hashes)
-    prepared = _prepared(docs, id_col, text_col)
     norm = F.nullif(normalised(F.col("text")), F.lit(""))
     keyed = checkpointed(prepared.select("id", "row", _key(norm).alias("key")))
     classes = checkpointed(text_classes(keyed))
@@ -216,20 +222,21 @@ def near_duplicates(
         .select("key", "rep", F.col("rep_id").alias("copy_of"), "n_copies", F.col("head.id").alias("class_id"), F.col("head.row").alias("head"),
                 F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    # rows of a class of many copies are spread over salts
-    salts = 16
-    told = told.withColumn("salt", F.explode(F.when(F.col("n_copies") > 1000, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))))
-    hot = checkpointed(classes.where("n_copies > 1000").select("key"))  # under a thousandth of the rows
-    marked = keyed.join(hot.withColumn("hot", F.lit(True)), "key", "left")
-    marked = marked.withColumn("salt", F.when(F.col("hot"), F.pmod("row", F.lit(salts))).otherwise(F.lit(-1)).cast("int"))
-    documents = marked.join(told, ["key", "salt"], "left").select(
-        "row", "id",
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("copy_of")).alias("copy_of"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce(F.col("row") == F.col("head"), F.lit(True)).alias("kept"),
+    # rows without words are done; they would all meet in one task
+    lone = keyed.where("key IS NULL").select(
+        "row", "id", F.col("id").alias("class_id"), F.col("id").alias("copy_of"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")
     )
-    return documents, links
+    worded = keyed.where("key IS NOT NULL")
+    hot = checkpointed(classes.where(F.col("n_copies") > SALT_ROWS).select("key", F.ceil(F.col("n_copies") / SALT_ROWS).alias("salts")))
+    if not hot.isEmpty() and hot.count() <= BROADCAST_CLASSES:
+        # rows of a class of many copies are spread over salts; with too many such classes the adaptive skew join splits them
+        told = told.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_copies") / SALT_ROWS) - 1)))
+        worded = worded.join(F.broadcast(hot), "key", "left").withColumn("salt", F.pmod("row", F.coalesce("salts", F.lit(1).cast("long"))))
+        joined = worded.join(told, ["key", "salt"])
+    else:
+        joined = worded.join(told, "key")
+    documents = joined.select("row", "id", "class_id", "copy_of", "n_copies", "n_links", (F.col("row") == F.col("head")).alias("kept"))
+    return documents.unionByName(lone), links
 
 
 def text_classes(keyed: DataFrame) -> DataFrame:
@@ -241,9 +248,8 @@ def text_classes(keyed: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; all columns as they came."""
-    docs = settled(docs)
-    found, _ = near_duplicates(docs, id_col, text_col, **options)
+    rows = numbered(docs)
+    found, _ = _near_duplicates(_prepared(rows, id_col, text_col), **options)
     dropped = checkpointed(found.where("NOT kept").select(F.col("row").alias("_row")))
     gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
-    rows = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("_at", F.monotonically_increasing_id())
-    return rows.join(gone, F.col("_at") == F.col("_row"), "left_anti").select("_doc.*")
+    return rows.join(gone, F.col("row") == F.col("_row"), "left_anti").select("doc.*")

@@ -2,13 +2,14 @@
 
 Each language has a byte context tree of orders 0 to 3. A byte is coded in the longest context that the language has seen: with probability
 c / (n + d), n being the context's bytes and d its distinct ones, or after an escape of d / (n + d) in the context one byte shorter;
-below order 0 all 256 bytes are alike. As the statistics are frozen, the code length of a byte depends on its context alone; so the
-trees are unrolled into one table of code lengths, context by byte by language, and a text costs one lookup a byte. The language of the
-shortest code wins; the score is its posterior among the learned languages, each as likely before.
+below order 0 all 256 bytes are alike. As the statistics are frozen, the code length of a byte depends on its context alone; so a batch
+of texts looks each of its distinct (context, byte) pairs up once a language, and a text's length is a sum over its bytes. The
+language of the shortest code wins; the score is its posterior among the learned languages, each as likely before.
 
-The trees are fitted to a sample of about ``SAMPLE`` labelled texts of each language, drawn by hash, whole texts each; at most
-``CONTEXTS`` contexts of order 3, the most frequent, have rows of their own (others use their order-2 row). So the
-broadcast table is bounded by CONTEXTS * 256 * languages * 4 bytes. Every text is scored whole.
+The trees are sorted arrays of what was seen, with every context of the sample, none left out. They are fitted to about ``SAMPLE`` labelled texts of each
+language, or, with many languages, about ``ALL_SAMPLES`` of all; texts are drawn by hash and taken whole. So the broadcast model is bounded
+by the bytes of that sample: 16 bytes at most for each of its distinct (context, byte) pairs, an order and language each. Every text is scored
+whole, a long one in parts that carry their context.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every text if no language was learned; ties go to the
 first language in code point order; null languages teach nothing; null ids count as the empty text in the split; repeated rows are scored each;
@@ -22,14 +23,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 4000
-CONTEXTS = 20_000
+SAMPLE, ALL_SAMPLES = 4000, 200_000
 ORDER = 3
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 21
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -45,16 +46,21 @@ def text_bytes(text: str) -> bytes:
 
 def gram_keys(data: list[bytes]) -> np.ndarray:
     """(order-3 context, byte) of every byte of the texts, as one number each."""
-    joined = np.frombuffer(b"".join(b"\0" * ORDER + x for x in data), dtype=np.uint8).astype(np.int64)
+    return padded_keys([b"\0" * ORDER + x for x in data])
+
+
+def padded_keys(parts: list[bytes]) -> np.ndarray:
+    """The same of parts that begin with the context of their first byte."""
+    joined = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint32)
     if len(joined) <= ORDER:
         return np.empty(0, np.int64)
     key = joined[:-3] << 24 | joined[1:-2] << 16 | joined[2:-1] << 8 | joined[3:]
-    lengths = np.asarray([len(x) for x in data], dtype=np.int64)
-    starts = np.cumsum(lengths + ORDER) - lengths - ORDER
-    wanted = np.zeros(len(key), dtype=bool)
-    index = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    wanted[index] = True
-    return key[wanted]
+    lengths = np.asarray([len(x) for x in parts], dtype=np.int64)
+    wanted = np.ones(len(joined), dtype=bool)
+    starts = np.cumsum(lengths) - lengths
+    for k in range(ORDER):
+        wanted[starts + k] = False
+    return key[wanted[ORDER:]].astype(np.int64)
 
 
 def count_grams(training: DataFrame) -> DataFrame:
@@ -73,115 +79,107 @@ def count_grams(training: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """``row`` maps an order-3 context of byte codes to a row of ``bits`` (row, code, language)."""
+class Tree:
+    """One language: for each order the sorted (context, byte) pairs with their bits, and the sorted contexts with the bits of an escape."""
+
+    pairs: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
 
+
+@dataclass
+class Model:
     langs: list[str]
-    codes: np.ndarray  # code of each byte; the last code stands for all bytes not learned
-    row: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
 
 
-def _lower(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, modulus: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the contexts one byte shorter."""
-    key, place = np.unique((context % modulus) * 256 + symbol, return_inverse=True)
-    return key // 256, key % 256, np.bincount(place, weights=n)
+def build_tree(gram: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of gram counts (order-3 context and byte); shorter contexts sum up longer ones."""
+    tree = Tree([], [], [], [])
+    for order in range(ORDER + 1):
+        pair, place = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        number = np.bincount(place, weights=n)
+        context, at = np.unique(pair >> 8, return_inverse=True)
+        whole, kinds = np.bincount(at, weights=number), np.bincount(at)
+        tree.pairs.append(pair.astype(np.uint32))
+        tree.bits.append(np.log2((whole + kinds)[at] / number))
+        tree.contexts.append(context.astype(np.uint32))
+        tree.escapes.append(np.log2((whole + kinds) / kinds))
+    return tree
 
 
-def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]], contexts: int = CONTEXTS) -> Model:
-    """The table of code lengths of the languages' gram counts."""
+def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     langs = sorted(counts, key=lambda x: x.encode())
-    # zeros stand before a text, and count as a byte that may follow
-    seen = np.unique(np.concatenate([[0], *(g % 256 for g, _ in counts.values())]))
-    size = len(seen) + 1
-    codes = np.full(256, size - 1, dtype=np.int64)
-    codes[seen] = np.arange(len(seen))
-
-    total: dict[int, float] = {}
-    for gram, n in counts.values():
-        context, place = np.unique(gram >> 8, return_inverse=True)
-        for c, k in zip(context.tolist(), np.bincount(place, weights=n).tolist()):
-            total[c] = total.get(c, 0) + k
-    third = np.sort(np.asarray(sorted(sorted(total), key=lambda c: -total[c])[:contexts], dtype=np.int64))
-    second = np.unique(np.concatenate([(g >> 8) & 0xFFFF for g, _ in counts.values()]))
-    first = np.unique(second & 0xFF)
-    # rows: order 0, then the contexts of orders 1, 2 and 3
-    at = {1: 1, 2: 1 + len(first), 3: 1 + len(first) + len(second)}
-    known = {1: first, 2: second, 3: third}
-    parent = {1: np.zeros(len(first), np.int64), 2: at[1] + np.searchsorted(first, second & 0xFF), 3: at[2] + np.searchsorted(second, third & 0xFFFF)}
-    bits = np.empty((at[3] + len(third), size, len(langs)), dtype=np.float32)
-    for k, lang in enumerate(langs):
-        gram, n = counts[lang]
-        levels = {3: (gram >> 8, gram & 0xFF, n.astype(float))}
-        levels[2] = _lower(*levels[3], 1 << 16)
-        levels[1] = _lower(*levels[2], 1 << 8)
-        levels[0] = _lower(*levels[1], 1)
-        for order in range(ORDER + 1):
-            context, symbol, number = levels[order]
-            if order == 0:
-                start, base = 0, np.full((1, size), 8.0)
-                place = np.zeros(len(context), np.int64)
-                inside = np.ones(len(context), bool)
-            else:
-                start, base = at[order], bits[parent[order], :, k].astype(np.float64)
-                place = np.searchsorted(known[order], context)
-                inside = (place < len(known[order])) & (known[order][np.minimum(place, len(known[order]) - 1)] == context)
-            rows, symbols, number = place[inside], codes[symbol[inside]], number[inside]
-            whole = np.bincount(rows, weights=number, minlength=len(base))
-            kinds = np.bincount(rows, minlength=len(base))
-            met = whole > 0
-            cost = base.copy()
-            cost[met] += np.log2((whole + kinds)[met] / kinds[met])[:, None]  # escape
-            cost[rows, symbols] = np.log2((whole + kinds)[rows] / number)
-            bits[start : start + len(base), :, k] = cost
-    # the row of the longest context known
-    row = np.zeros(size**3, dtype=np.int32)
-    grid = np.arange(size**3)
-    row[:] = _fit(grid % size, codes[first], at[1], row, size)
-    row[:] = _fit(grid % size**2, codes[second >> 8] * size + codes[second & 0xFF], at[2], row, size**2)
-    keys = (codes[third >> 16] * size + codes[(third >> 8) & 0xFF]) * size + codes[third & 0xFF]
-    row[:] = _fit(grid, keys, at[3], row, size**3)
-    return Model(langs, codes, row, bits)
-
-
-def _fit(part: np.ndarray, keys: np.ndarray, start: int, before: np.ndarray, size: int) -> np.ndarray:
-    table = np.full(size, -1, dtype=np.int32)
-    table[keys] = start + np.arange(len(keys), dtype=np.int32)
-    found = table[part]
-    return np.where(found >= 0, found, before)
-
-
-def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
+    return Model(langs, [build_tree(*counts[x]) for x in langs])
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of keys."""
+    place = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return place, sorted_keys[place] == keys
+
+
+def pair_bits(tree: Tree, keys: np.ndarray) -> np.ndarray:
+    """Bits of each (order-3 context, byte) pair."""
+    bits, left = np.zeros(len(keys)), np.arange(len(keys))
+    for order in range(ORDER, -1, -1):
+        asked = (keys[left] & ((1 << 8 * (order + 1)) - 1)).astype(np.uint32)
+        place, there = _found(tree.pairs[order], asked)
+        bits[left[there]] += tree.bits[order][place[there]]
+        left, asked = left[~there], asked[~there]
+        place, there = _found(tree.contexts[order], asked >> 8)
+        bits[left[there]] += tree.escapes[order][place[there]]
+    bits[left] += 8
+    return bits
+
+
+def code_lengths(model: Model, texts: list[bytes], chunk: int = CHUNK_BYTES) -> np.ndarray:
     """Bits of each text (not empty) in each language."""
-    size = model.bits.shape[1]
-    symbol = model.codes[np.frombuffer(b"".join(b"\0" * ORDER + x for x in texts), dtype=np.uint8)]
-    context = (symbol[:-3] * size + symbol[1:-2]) * size + symbol[2:-1]
-    cost = model.bits[model.row[context], symbol[3:]]
-    lengths = np.asarray([len(x) for x in texts])
-    starts = np.cumsum(lengths + ORDER) - lengths - ORDER
-    bounds = np.stack([starts, starts + lengths], axis=1).ravel()
-    bounds = bounds[:-1] if bounds[-1] >= len(cost) else bounds
-    return np.add.reduceat(cost, bounds, axis=0, dtype=np.float64)[::2]
-
-
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, contexts: int = CONTEXTS) -> Model | None:
+    total = np.zeros((len(texts), len(model.langs)))
+    parts, of, held = [], [], 0
+
+    def count() -> None:
+        code, distinct = pd.factorize(padded_keys(parts))
+        order = np.argsort(distinct)  # neighbours are looked up near each other
+        lengths = np.asarray([len(x) - ORDER for x in parts])
+        starts = np.cumsum(lengths) - lengths
+        for k, tree in enumerate(model.trees):
+            bits = np.empty(len(distinct))
+            bits[order] = pair_bits(tree, distinct[order])
+            np.add.at(total[:, k], of, np.add.reduceat(bits[code], starts))
+
+    for i, text in enumerate(texts):
+        padded = b"\0" * ORDER + text
+        for at in range(0, len(text), chunk):
+            part = padded[at : at + chunk + ORDER]
+            if parts and held + len(part) > chunk + ORDER:
+                count()
+                parts, of, held = [], [], 0
+            parts.append(part)
+            of.append(i)
+            held += len(part)
+    if parts:
+        count()
+    return total
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE, all_samples: int = ALL_SAMPLES) -> Model | None:
     """Trees of the languages of ``docs`` outside the held-out quarter."""
-    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    usable = usable.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("id")))
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language; reads no text
     if not sizes:
         return None
-    lot = F.shiftrightunsigned(F.xxhash64("id", F.monotonically_increasing_id()), 11).cast("double") / float(2**53)
-    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(sample / n))))
-    drawn = usable.where(lot < share[F.col("lang")])
-    counted: dict[str, tuple[list, list]] = {}
-    for r in count_grams(drawn).toLocalIterator():
-        grams, ns = counted.setdefault(r.lang, ([], []))
-        grams.append(r.gram)
-        ns.append(r.n)
-    if not counted:
+    each = min(sample, max(1, all_samples // len(sizes)))
+    lot = F.shiftrightunsigned(F.xxhash64("id", "text"), 11).cast("double") / float(2**53)
+    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(each / n))))
+    drawn = usable.where((F.length("text") > 0) & (lot < share[F.col("lang")]))
+    table = count_grams(drawn).toArrow()  # at most one row for each byte of the sample
+    langs, gram, n = table["lang"].combine_chunks().dictionary_encode(), table["gram"].to_numpy(), table["n"].to_numpy()
+    if not len(table):
         return None
-    return build_model({k: (np.asarray(g, np.int64), np.asarray(n, np.int64)) for k, (g, n) in counted.items()}, contexts)
+    index = langs.indices.to_numpy()
+    return build_model({name: (gram[index == k], n[index == k]) for k, name in enumerate(langs.dictionary.to_pylist())})
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

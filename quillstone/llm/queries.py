@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import host_rules, license_scan, line_dedup, mixing, ngram_join, packing, ppm_language, repair, site_quality, topk_search
-from quillstone.session import read_table
+from quillstone.session import numbered, read_table
 
 
 def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = site_quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return judged.select("doc.doc_id", "p_document", "host_rate", "path_rate", "p_good", "kept")
+    judged = site_quality.scores(numbered(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "labels"))
+    return judged.withColumnRenamed("id", "doc_id").drop("row")
 
 
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
             SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score

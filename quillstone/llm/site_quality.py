@@ -4,15 +4,15 @@ A logistic model over counts of the text gives each document a probability of be
 most ``SAMPLE`` labelled documents (those with the smallest hashes of their ids). Everything else covers all rows:
 good mass is summed by host and by path within the host, labels standing in for probabilities where there are any. The
 beta priors come from the moments of the rates, so a sparse host is drawn to the common rate and a sparse path to its
-host. A document's own mass is left out of its site's rate. The posterior log-odds are the document's plus the site's
+host. A document's own mass, its label where it has one, is left out of its site's rate. The posterior log-odds are the document's plus the site's
 in excess of the common rate's.
 
-Only the grouped sums are shuffled, one row a host or path after the partial sums; the texts are scanned twice and stay in place
-while the sites' rates fit a broadcast.
+The texts are read once for their counts, which are kept with a row number; all else works on these small rows. Only ids, labels and grouped sums
+are shuffled. A verdict meets its text again by the row number, in place while the rejected rows fit a broadcast.
 
 Defined results: null and empty texts have zero counts and are judged by these; null hosts or paths form one group; repeated labels of
 a document count by their mean, null labels and labels without a document not at all; without labels of both kinds all documents are kept;
-an empty table gives no rows; other columns pass through, whatever their names.
+repeated rows are judged each; an empty table gives no rows; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.host_rules import beta_prior
-from quillstone.session import checkpointed
+from quillstone.session import checkpointed, numbered
 
 SAMPLE = 20_000
 #: sites up to this number are broadcast (a row is under 200 bytes); more are joined by shuffle
 BROADCAST_SITES = 20_000
+#: rejected rows of one long up to this number are broadcast (16 MB at most); more are joined by shuffle
+BROADCAST_ROWS = 500_000
 
 
-def _less(text: Column, characters: str) -> Column:
-    """How many code points of ``text`` are among ``characters``."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("double")
+def _among(text: Column, characters: str) -> Column:
+    """How many code points of ``text`` match the character class."""
+    return F.regexp_count(text, F.lit(characters)).cast("double")
 
 
 def base_counts(text: Column) -> Column:
@@ -46,11 +48,11 @@ def base_counts(text: Column) -> Column:
         F.size(F.array_distinct(words)).cast("double").alias("distinct_words"),
         F.size(lines).cast("double").alias("lines"),
         F.size(F.array_distinct(lines)).cast("double").alias("distinct_lines"),
-        _less(text, "#*$%&|<>{}[]~^=_\\/").alias("symbols"),
-        _less(text, ".,;:!?").alias("stops"),
-        _less(text, "0123456789").alias("digits"),
-        _less(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"),
-        _less(text, "|").alias("bars"),
+        _among(text, r"[#*$%&|<>{}\[\]~^=_\\/]").alias("symbols"),
+        _among(text, "[.,;:!?]").alias("stops"),
+        _among(text, "[0-9]").alias("digits"),
+        _among(text, "[A-Z]").alias("capitals"),
+        _among(text, r"\|").alias("bars"),
     )
 
 
@@ -84,11 +86,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def document_odds(text: Column, weights: list[float], intercept: float) -> Column:
-    """Log-odds of the logistic model; counts are taken once."""
-    dot = F.aggregate(
-        F.zip_with(features(F.col("_counts")), F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(float(intercept)), lambda s, v: s + v
-    )
+def document_odds(counts: Column, weights: list[float], intercept: float) -> Column:
+    """Log-odds of the logistic model."""
+    dot = F.aggregate(F.zip_with(features(counts), F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(float(intercept)), lambda s, v: s + v)
     return F.greatest(F.least(dot, F.lit(30.0)), F.lit(-30.0))
 
 
@@ -97,33 +97,31 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+def scores(
+    rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     path_col: str = "lang", label_col: str = "quality", threshold: float = 0.5, sample: int = SAMPLE,
 ) -> DataFrame:
-    """``doc`` (the row as it came), p_document, host_rate, path_rate, p_good and kept."""
-    own = docs.select(
-        F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("_id"), F.col(host_col).alias("_host"),
-        F.col(path_col).alias("_path"), base_counts(F.col(text_col)).alias("_counts"),
-    )
-    slim = checkpointed(own.select("_id", "_host", "_path", "_counts"))
-    truth = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(
+    """row, id, p_document, host_rate, path_rate, p_good and kept of rows that ``session.numbered`` gave."""
+    held = F.col("doc").getField
+    slim = checkpointed(rows.select("row", held(id_col).alias("_id"), held(host_col).alias("_host"), held(path_col).alias("_path"), base_counts(held(text_col)).alias("_counts")))
+    truth = checkpointed(labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(
         F.avg(F.col(label_col).cast("double")).alias("_label")
-    )
+    ))
     known = slim.join(truth, F.col("_id") == F.col("_label_id"))
     # a share of hashes that gives a little more than the sample, so that tasks send the driver no more than it keeps
     lot = F.shiftrightunsigned(F.xxhash64("_id"), 11).cast("double") / float(2**53)
     share = min(1.0, 1.2 * sample / max(1, truth.count()))
-    drawn = known.where(lot < share).orderBy(lot, "_id").limit(sample)
-    rows = drawn.select(features(F.col("_counts")).alias("x"), "_label").collect()
-    x = np.asarray([r.x for r in rows], dtype=float).reshape(len(rows), len(rows[0].x) if rows else 0)
-    weights, intercept = fit_logistic(x, np.asarray([r._label >= 0.5 for r in rows], dtype=float))
-    odds = document_odds(F.col(text_col), weights.tolist(), intercept) if len(weights) else F.lit(float(intercept))
-
-    # good mass by path and host: the label where there is one, else the model's probability
-    chance = 1 / (1 + F.exp(-odds))
-    mass = slim.select("_id", "_host", "_path", chance.alias("_p")).join(truth, F.col("_id") == F.col("_label_id"), "left")
-    mass = mass.select("_host", "_path", "_p", F.coalesce("_label", "_p").alias("_good"))
+    drawn = known.where(lot < share).orderBy(lot, "_id", "row").limit(sample)
+    shown = drawn.select(features(F.col("_counts")).alias("x"), "_label").collect()
+    x = np.asarray([r.x for r in shown], dtype=float).reshape(len(shown), len(shown[0].x) if shown else 0)
+    weights, intercept = fit_logistic(x, np.asarray([r._label >= 0.5 for r in shown], dtype=float))
+    odds = document_odds(F.col("_counts"), weights.tolist(), intercept) if len(weights) else F.lit(float(intercept))
+
+    # good mass by path and host: the label where there is one, else the model's probability; rows without an id need no label
+    judged = slim.select("row", "_id", "_host", "_path", (1 / (1 + F.exp(-odds))).alias("p_document"))
+    met = judged.where("_id IS NOT NULL").join(truth, F.col("_id") == F.col("_label_id"), "left").drop("_label_id")
+    met = met.unionByName(judged.where("_id IS NULL").withColumn("_label", F.lit(None).cast("double")))
+    mass = checkpointed(met.withColumn("_good", F.coalesce("_label", "p_document")).drop("_label"))
     paths = checkpointed(mass.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), F.sum("_good").alias("good")))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     alpha, beta = beta_prior(F.col("good"), F.col("n"))
@@ -141,15 +139,28 @@ def classify(
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)
 
-    scored = own.withColumn("p_document", 1 / (1 + F.exp(-odds))).drop("_counts", "_id").join(
-        sites, F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path")), "left"
-    )
-    # a document's own probability is left out of its site's rates
-    host_rate = (F.greatest(F.col("host_good") - F.col("p_document"), F.lit(0.0)) + host_weight * common) / (F.col("host_n") - 1 + host_weight)
+    scored = mass.join(sites, F.col("_host").eqNullSafe(F.col("_site_host")) & F.col("_path").eqNullSafe(F.col("_site_path")), "left")
+    # a document's own mass is left out of its site's rates
+    host_rate = (F.greatest(F.col("host_good") - F.col("_good"), F.lit(0.0)) + host_weight * common) / (F.col("host_n") - 1 + host_weight)
     scored = scored.withColumn("host_rate", F.least(host_rate, F.lit(1.0)))
-    path_rate = (F.greatest(F.col("path_good") - F.col("p_document"), F.lit(0.0)) + path_weight * F.col("host_rate")) / (F.col("path_n") - 1 + path_weight)
+    path_rate = (F.greatest(F.col("path_good") - F.col("_good"), F.lit(0.0)) + path_weight * F.col("host_rate")) / (F.col("path_n") - 1 + path_weight)
     scored = scored.withColumn("path_rate", F.least(path_rate, F.lit(1.0)))
     base = math.log(max(common, 1e-6) / max(1 - common, 1e-6))
     final = _logit(F.col("p_document")) + _logit(F.col("path_rate")) - base
     scored = scored.withColumn("p_good", 1 / (1 + F.exp(-final)))
-    return scored.select("doc", "p_document", "host_rate", "path_rate", "p_good", (F.col("p_good") >= threshold).alias("kept"))
+    return scored.select("row", F.col("_id").alias("id"), "p_document", "host_rate", "path_rate", "p_good", (F.col("p_good") >= threshold).alias("kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``doc`` (the row as it came) beside its scores. Every text meets its own row, so the texts are shuffled; see :func:`kept_documents`."""
+    rows = numbered(docs)
+    found = scores(rows, labels, **options).withColumnRenamed("row", "_row")
+    return rows.join(found, F.col("row") == F.col("_row")).drop("row", "_row", "id")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that are kept; all columns as they came."""
+    rows = numbered(docs)
+    rejected = checkpointed(scores(rows, labels, **options).where("NOT kept").select(F.col("row").alias("_row")))
+    gone = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    return rows.join(gone, F.col("row") == F.col("_row"), "left_anti").select("doc.*")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quillstone.llm import components, line_dedup, ngram_join
+from quillstone.llm import components, line_dedup, mixing, ngram_join
 from tests.llm.conftest import SCHEMA, awkward_rows, prose
 
 
@@ -62,7 +62,8 @@ def test_hot_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in documents.collect()} == {(0, 29)}
 
 
-def test_joined_copies_of_many_rows(spark, awkward, empty):
+def test_joined_copies_of_many_rows(spark, monkeypatch, awkward, empty):
+    monkeypatch.setattr(ngram_join, "SALT_ROWS", 100)
     docs = spark.createDataFrame([(i, "the same words in every row", "en", "a", 0) for i in range(1200)], SCHEMA)
     documents, links = ngram_join.near_duplicates(docs)
     assert {(r.class_id, r.n_copies) for r in documents.collect()} == {(0, 1200)} and links.isEmpty()
@@ -118,24 +119,63 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def brute_dedup(rows, min_words=30, least=4):
-    """Passages removed from each of the (id, text) rows, in order of rank."""
-    seen, out = {}, {}
-    for i, (_, text) in enumerate(sorted(rows)):
-        runs, last = [], None
-        for nth, (start, end, words, norm) in enumerate(line_dedup.units_of(text or "", least)):
-            if norm in seen:
-                if last and last[0] == nth - 1:
-                    last[0], last[2], last[3] = nth, end, last[3] + words
-                else:
-                    last = [nth, start, end, words]
-                    runs.append(last)
+def brute_units(text, least=4):
+    """(start, end, words) of lines of ASCII text, cut at ". " and before capitals after small words; short ones joined. Written apart from the operator."""
+    lines, at = [], 0
+    for line in text.splitlines(keepends=True):
+        cuts = [at] + [at + i for i in range(1, len(line)) if line[i - 1] == " " and (line[:i].rstrip(" ")[-1:] in ".!?" and line[i] != " " or line[i].isupper() and not line[:i].split(" ")[-2][:1].isupper())] + [at + len(line)]
+        found = [[a, b, len(text[a:b].split())] for a, b in zip(cuts, cuts[1:])]
+        units = []
+        while found:  # short pieces wait for enough words, or for a long one, which sends them back
+            unit = found.pop(0)
+            while unit[2] < least and found and found[0][2] < least:
+                unit = [unit[0], found[0][1], unit[2] + found.pop(0)[2]]
+            if unit[2] < least and units:
+                units[-1] = [units[-1][0], unit[1], units[-1][2] + unit[2]]
+            elif unit[2] < least and found:
+                found[0] = [unit[0], found[0][1], unit[2] + found[0][2]]
             else:
-                seen[norm] = i
-        out[i] = [(s, e) for _, s, e, n in runs if n >= min_words]
+                units.append(unit)
+        lines.append(units)
+        at += len(line)
+    out, short = [], None
+    for units in lines:
+        if units[0][2] >= least:
+            out += ([short] if short else []) + units
+            short = None
+        else:
+            short = [short[0] if short else units[0][0], units[0][1], (short[2] if short else 0) + units[0][2]]
+            if short[2] >= least:
+                out.append(short)
+                short = None
+    return [u for u in out + ([short] if short else []) if u[2]]
+
+
+def brute_dedup(rows, min_words=30):
+    """Passages removed from each of the (id, text) rows, in order of rank."""
+    seen, out = set(), []
+    for _, text in sorted(rows):
+        runs, open_ = [], False
+        for start, end, words in brute_units(text or ""):
+            norm = " ".join(text[start:end].lower().split())
+            if norm in seen and open_:
+                runs[-1] = [runs[-1][0], end, runs[-1][2] + words]
+            elif norm in seen:
+                runs.append([start, end, words])
+            open_ = norm in seen
+            seen.add(norm)
+        out.append([(a, b) for a, b, n in runs if n >= min_words])
     return out
 
 
+def test_unique_short_lines_between_repeats_stay(spark):
+    first, second = "Aa " + prose(300, 40).replace(".", ""), "Bb " + prose(301, 45).replace(".", "")
+    texts = [f"{first}\nTotal due 40\n{second}\nSame end", f"{first}\nTotal due 51\n{second}\nSame end", f"Zz {prose(302, 9)}\n{first}\nTotal due 51\n{second}\nSame end"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r.doc.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+    assert found[0] == texts[0] and found[1] == "Total due 51\n" and found[2] == f"Zz {prose(302, 9)}\n"
+
+
 def test_passages_against_brute_force(spark):
     passage = ". ".join("P" + prose(50 + i, 9) for i in range(7)) + "."
     rows = [(i, f"{prose(i, 70)}\n{prose(i + 90, 40)}") for i in range(12)]
@@ -154,11 +194,31 @@ def test_passages_against_brute_force(spark):
             left, at = left + text[at : s.start], s.end
         assert r.text == left + text[at:]
     assert passage.split(". ")[3] in found[3].text and passage.split(". ")[3] not in found[7].text
-    assert len(found[20].text.split()) < line_dedup.MIN_UNIT_WORDS and not found[22].spans and not found[5].spans
+    assert not found[20].text and not found[22].spans and not found[5].spans
+
+
+def test_decisions_do_not_follow_the_splits(spark, tmp_path):
+    """Documents and decisions are read in different splits, as when executors come and go."""
+    texts = [prose(i % 40, 80) + f" end{i % 60}" for i in range(120)]
+    spark.createDataFrame([(i, t, "en", f"s{i % 3}", 0) for i, t in enumerate(texts)], SCHEMA).repartition(4).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    operators = [ngram_join.keep_one_each, mixing.mixed_documents, lambda d: line_dedup.dedup(d).select("doc.doc_id", "text")]
+    found = []
+    for before, after in ((1, 1), (1, 30), (30, 1)):
+        for operator in operators:
+            spark.conf.set("spark.sql.files.minPartitionNum", before)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", 134217728 if before == 1 else 3000)
+            left = operator(docs)
+            spark.conf.set("spark.sql.files.minPartitionNum", after)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", 134217728 if after == 1 else 3000)
+            found.append(sorted(map(tuple, left.select("doc_id", "text").collect())))
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[:3] == found[3:6] == found[6:] and all(found)
 
 
 def test_hot_digest_and_awkward(spark, monkeypatch, awkward, empty):
-    monkeypatch.setattr(line_dedup, "HOT", 5)
+    monkeypatch.setattr(line_dedup, "SALT_ROWS", 5)
     line = prose(4, 50).replace(".", "")
     docs = spark.createDataFrame([(i, line + f"\nEnd u{i}", "en", "a", 0) for i in range(40)], SCHEMA).repartition(4)
     rows = line_dedup.dedup(docs).collect()
@@ -212,4 +272,4 @@ def test_short_pieces_join_within_bounds():
     assert "".join(text[a:b] for a, b, _, _ in units) == text and all(4 <= n <= 11 for _, _, n, _ in units)
     for odd in ("", "\n\n", " ", "A", "\nA b\n\nc", "。。", "A. B", " A"):
         for a, b, n, norm in line_dedup.units_of(odd):
-            assert n >= 4 and norm
+            assert n >= 1 and norm

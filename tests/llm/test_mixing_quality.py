@@ -101,11 +101,58 @@ def test_quality_held_out_accuracy(spark):
 def test_sparse_site_is_shrunk(spark):
     rows = [(i, prose(i, 90) if i % 2 else "| # " * 60, "en", f"h{i % 10}", 0) for i in range(200)] + [(900, prose(3, 90), "en", "new", 0)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)], "doc_id long, quality int, toxic int")
-    found = site_quality.classify(spark.createDataFrame(rows, SCHEMA), labels).select("doc.doc_id", "host_rate", "kept").toPandas().set_index("doc_id")
+    found = site_quality.classify(spark.createDataFrame(rows, SCHEMA), labels).select("doc.doc_id", "host_rate", "kept").toPandas().set_index("doc_id").sort_index()
     assert found.kept[900] and abs(found.host_rate[900] - 0.5) < 0.1
     assert (found.kept[:200] == [i % 2 == 1 for i in range(200)]).all()
 
 
+def brute_posteriors(rows, labels, p):
+    """Posteriors of (id, host, path) rows by sums in Python, from the documents' own probabilities."""
+    truth = {}
+    for i, quality in labels:
+        if i is not None and quality is not None:
+            truth.setdefault(i, []).append(quality)
+    good = [np.mean(truth[i]) if i in truth else q for (i, _, _), q in zip(rows, p)]
+
+    def sums(key):
+        out = {}
+        for r, g in zip(rows, good):
+            n, k = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, k + g
+        return out
+
+    def weight(groups):
+        n, k = (np.array(x, float) for x in zip(*groups))
+        mean, share = k.sum() / n.sum(), len(n) / n.sum()
+        spread = ((k * k / n).sum() / n.sum() - mean**2 - mean * (1 - mean) * share) / (1 - share)
+        return min(max(mean * (1 - mean) / spread - 1 if spread > 0 else 1e4, 1), 1e4)
+
+    host, path = sums(lambda r: r[1]), sums(lambda r: r[1:])
+    common, host_weight, path_weight = np.mean(good), weight(host.values()), weight(path.values())
+    out = []
+    for r, g, q in zip(rows, good, p):
+        (hn, hk), (pn, pk) = host[r[1]], path[r[1:]]
+        a = (hk - g + host_weight * common) / (hn - 1 + host_weight)
+        b = (pk - g + path_weight * a) / (pn - 1 + path_weight)
+        odds = q / (1 - q) * b / (1 - b) / (common / (1 - common))
+        out.append((a, b, odds / (1 + odds)))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 17 else None, "| # " * 20 + prose(i, 20) if rng.random() < 0.4 else prose(i, int(rng.integers(20, 90))), [None, "en", "fr"][i % 3], f"h{int(rng.integers(0, 9)) ** 2 % 7}" if i % 13 else None, 0) for i in range(300)]
+    shown = [(i, int(rng.random() < 0.5) if i % 4 else int("|" not in rows[i][1])) for i in range(0, 300, 2)] + [(8, 0), (8, 1), (10, None), (None, 1)]
+    labels = spark.createDataFrame(shown, "doc_id long, quality int")
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], SCHEMA + ", k long").repartition(3)
+    found = sorted(site_quality.classify(docs, labels).collect(), key=lambda r: r.doc.k)
+    wanted = brute_posteriors([(r[0], r[3], r[2]) for r in rows], shown, [r.p_document for r in found])
+    for r, w in zip(found, wanted):
+        assert np.allclose((r.host_rate, r.path_rate, r.p_good), w, atol=1e-6) and r.kept == (w[2] >= 0.5)
+    kept = site_quality.kept_documents(docs, labels)
+    assert sorted(r.k for r in kept.collect()) == [r.doc.k for r in found if r.kept] and kept.columns == docs.columns
+
+
 def test_quality_awkward(spark, awkward, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (7, 0, 0), (None, 1, 0), (99, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
     found = site_quality.classify(awkward, labels)

@@ -11,11 +11,11 @@ from tests.llm.conftest import SCHEMA, awkward_rows
 
 
 def test_top_k_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "TILE_BITS", 4)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 500)  # several rounds
+    monkeypatch.setattr(topk_search, "FAN_IN", 2)
     rng = np.random.default_rng(2)
     vectors = rng.integers(-3, 4, (220, 5)).tolist()
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, vector array<long>").repartition(3)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, vector array<long>").repartition(7)
     found = topk_search.top_k(df.where("vec_id % 20 = 0"), df, "vec_id", "vector", 7).collect()
     for q in range(0, 220, 20):
         scores = sorted((-int(np.dot(vectors[q], v)), i) for i, v in enumerate(vectors) if i != q)[:7]
@@ -28,11 +28,23 @@ def test_top_k_awkward(spark):
     raw = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit("clash")).withColumn("id", F.lit(1))
     df = raw.where(topk_search.usable(F.col("embedding"))).select("*", topk_search.quantised(F.col("embedding")).alias("vector"))
     found = topk_search.top_k(df.where("vec_id % 100 = 0"), df, "vec_id", "vector", 10).collect()
-    assert [(r.id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == 0] == [(5, 1310720), (5, 1310720), (6, 262144), (100, 0)]
+    assert [(r.id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == 0] == [(5, 1310720), (5, 1310720), (6, 262144), (7, 0), (100, 0)]
     none = df.where("vec_id < 0")
     assert topk_search.top_k(none, df, "vec_id", "vector").count() == 0 and topk_search.top_k(none, none, "vec_id", "vector").count() == 0
 
 
+def test_tiles_keep_ties_by_id():
+    rng = np.random.default_rng(9)
+    queries, q_ids = rng.integers(-2, 3, (5, 4)), np.array([3, 40, 41, 500, 3])
+    ids, vectors = rng.permutation(90), rng.integers(-2, 3, (90, 4))
+    best = topk_search.BestLists(q_ids, queries, 6)
+    for at in range(0, 90, 13):
+        best.add(ids[at : at + 13], vectors[at : at + 13])
+    for i, (scores, held) in enumerate(best.lists):
+        right = sorted((-int(s), int(x)) for x, s in zip(ids, vectors @ queries[i]) if x != q_ids[i])[:6]
+        assert [(-int(s), int(x)) for s, x in zip(scores, held)] == right
+
+
 def test_large_products_stay_exact():
     big = np.full((1, 3), 2**28, dtype=np.int64)
     assert topk_search._products(big, big)[0, 0] == 3 * 2**56
@@ -81,8 +93,19 @@ def test_code_lengths_are_exact():
     for k, lang in enumerate(model.langs):
         trees = trees_of(teach[lang])
         for row, text in enumerate(data):
-            # a byte that no language has seen is coded as one
-            assert abs(bits[row, k] - brute_bits(trees, text)) < 1e-2, (lang, text)
+            assert abs(bits[row, k] - brute_bits(trees, text)) < 1e-6, (lang, text)
+    # a long text in parts, and texts that share a part
+    for chunk in (1, 4, 7):
+        assert np.allclose(ppm_language.code_lengths(model, data, chunk), bits)
+
+
+def test_every_context_of_the_sample_is_kept():
+    rng = np.random.default_rng(3)
+    data = [bytes(rng.integers(97, 123, 40_000).astype(np.uint8))]
+    model = ppm_language.build_model({"a": np.unique(ppm_language.gram_keys(data), return_counts=True)})
+    assert len(model.trees[0].contexts[3]) > 15_000
+    text = [data[0][5000:5200]]
+    assert abs(ppm_language.code_lengths(model, text)[0, 0] - brute_bits(trees_of([data[0].decode()]), text[0])) < 1e-6
 
 
 def test_language_held_out_and_awkward(spark, awkward, empty):
@@ -165,6 +188,43 @@ def test_signatures(spark):
     assert {t: found[i].labels for i, t in enumerate(cases)} == cases
 
 
+def brute_settled(norm):
+    """All matches, taken best first, against those already taken; by Python's own regular expressions."""
+    found = {(m.start(), m.end(), order, label) for label, order, keyword, pattern in RULES if keyword in norm for m in re.finditer(pattern, norm)}
+    kept = []
+    for start, end, order, label in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0], d[3])):
+        over = [k for k in kept if k[0] < end - 1 and start < k[1] - 1]
+        if not any(k[2] < order or (k[0] <= start and end <= k[1]) for k in over):
+            kept.append((start, end, order, label))
+    return sorted(kept)
+
+
+def test_detections_against_brute_force(spark):
+    rng = random.Random(11)
+    parsed = [re._parser.parse(p) for _, _, _, p in RULES]
+    texts = ["".join(a_match(rng.choice(parsed), rng) + rng.choice(["", " ", " word"]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    texts += ["gpl " * 3000, " ".join(a_match(rng.choice(parsed), rng) for _ in range(1500)), "GNU GPL v3 or later general public license 3.0.1", "cc by cc by sa 4.0 creative commons attribution"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text RLIKE '(?i)licen|reserved|copyright|cc by'")
+    texts += [r.text for r in docs.collect()]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for r in license_scan.scan(rows).collect():
+        text = texts[r.doc_id]
+        norm = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", f" {text.translate(lower)} ")
+        right = brute_settled(norm)
+        assert sorted((d.start, d.end, d.order, d.label) for d in r.detections) == right, text[:200]
+        names = sorted({x[3] for x in right} | set(filter(None, brute_scan(text)[4].split(","))))
+        score = 1 - math.prod(0.1 if re.search("-[0-9]", x) else 0.4 for x in names)
+        assert r.labels == ",".join(names) and abs(r.score - score) < 1e-8
+
+
+def test_a_suppressed_detection_suppresses_nothing(spark):
+    hits = [(0, 20, 1, "a"), (10, 30, 5, "b"), (22, 40, 9, "c"), (60, 70, 5, "d"), (62, 68, 5, "e"), (60, 70, 5, "f")]
+    rows = spark.createDataFrame([(hits,), ([],)], "hits array<struct<start:int,end:int,order:int,label:string>>")
+    found = [[h.label for h in r.x] for r in rows.select(license_scan.unsuppressed(F.col("hits")).alias("x")).collect()]
+    assert [sorted(x) for x in found] == [["a", "c", "d"], []]
+
+
 def brute_scan(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     places = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
