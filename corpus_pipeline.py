@@ -1,6 +1,10 @@
 """A corpus from raw documents: quality, near-duplicates, repeated passages, source mix, packed sequences.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Columns pass through as they came, whatever their names.
+
+Defined results: null and empty texts are judged by their zero counts in the first stage; those it keeps stand alone in the second, have no passages in the third, and
+are taken 0 times by the mix, so that none is packed. Repeated rows are near-duplicates of each other, of which the second stage keeps one, the first by id (null ids
+last) and then by place. Null sources are one source, null languages one path. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return site_quality.classify(docs, read_table(spark, sf_dir, "labels")).where("kept").select("doc.*")
+    return site_quality.kept_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
