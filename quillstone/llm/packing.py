@@ -9,7 +9,7 @@ pieces a class, is merged: workers by groups, class by class, and the last parti
 by first fit over all classes. A group holds at most ``GROUP`` workers' rests, whatever the input.
 
 Defined results: null texts are empty and become the end id alone; each row is a document of its own, also with
-repeated ids; other columns are dropped; an empty table gives no pieces.
+repeated ids; ids are whole numbers, what Spark cannot cast to one is an error; other columns are dropped; an empty table gives no pieces.
 """
 
 from __future__ import annotations

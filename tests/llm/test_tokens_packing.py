@@ -47,6 +47,29 @@ def test_overlapping_pairs():
     assert ragged_take(grown, starts[flat], size[flat]).tolist() == [5] * 101
 
 
+def test_grammar_grows_until_no_pair_is_frequent():
+    rng = np.random.default_rng(6)
+    flat = rng.integers(0, 40, 6000)
+    out, lengths, rules = repair.grow_grammar(flat, np.full(60, 100), np.ones(60), 256)
+    pairs = {}
+    at = 0
+    for n in lengths:
+        for a, b in zip(out[at : at + n], out[at + 1 : at + n]):
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+        at += n
+    assert len(rules) and max(pairs.values()) < 2 * repair.LEAST_COUNT
+    grown, starts, size = repair.expansions(rules, 256)
+    assert np.array_equal(ragged_take(grown, starts[out], size[out]), flat)
+
+
+def test_ids_beyond_the_symbols_are_an_error():
+    encoder = Encoder(default_vocabulary())
+    with pytest.raises(ValueError):
+        repair.encode_shard(encoder.encode(pa.array(["a"])), [1], 70_000, 2)
+    with pytest.raises(ValueError):
+        repair.encode_shard(encoder.encode(pa.array(["a"])), [1], 50_257, 65_536)
+
+
 def test_file_of_awkward_rows(spark, awkward, library, tmp_path):
     rows = repair.round_trip(spark, awkward, f"file://{tmp_path}", shard_bytes=5000).collect()
     expected = sorted(awkward_rows(), key=lambda r: (r[0] is not None, r[0] or 0))
