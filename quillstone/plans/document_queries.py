@@ -69,7 +69,16 @@ def q_tokens(spark, sf_dir):
     SELECT doc_id, CAST(i AS INTEGER) AS sentence_id, sentence, CAST(start AS BIGINT) AS "start", CAST(start + length(sentence) AS BIGINT) AS "end" FROM p WHERE sentence <> ''
 """)
 def q_sentences(spark, sf_dir):
-    return sentences.sentences(documents(spark, sf_dir)).withColumnRenamed("document_id", "doc_id")
+    return sentences.sentences(documents(spark, sf_dir)).withColumnRenamed("document_id", "doc_id").drop("begin", "stop")
+
+
+@query()
+def q_sentence_places(spark, sf_dir):
+    """Where each sentence stands in the text as it came, and a digest of what stands there."""
+    docs = documents(spark, sf_dir)
+    found = sentences.sentences(docs).drop("sentence").join(docs, "document_id")
+    there = F.substring("text", (F.col("begin") + 1).cast("int"), (F.col("stop") - F.col("begin")).cast("int"))
+    return found.select(F.col("document_id").alias("doc_id"), "sentence_id", "begin", "stop", F.md5(text.collapse(there).cast("binary")).alias("digest"))
 
 
 LINES = """
