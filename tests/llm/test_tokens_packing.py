@@ -49,7 +49,7 @@ def test_overlapping_pairs():
 
 def test_grammar_grows_until_no_pair_is_frequent():
     rng = np.random.default_rng(6)
-    flat = rng.integers(0, 40, 6000)
+    flat = rng.integers(0, 6, 6000)
     out, lengths, rules = repair.grow_grammar(flat, np.full(60, 100), np.ones(60), 256)
     pairs = {}
     at = 0
