@@ -93,3 +93,15 @@ def text_documents(spark: SparkSession, root: str) -> DataFrame:
     text = F.coalesce(text, F.raise_error(F.concat(F.lit("no text in "), "source_path")))
     name = F.coalesce(pick(*"document_id doc_id id metadata.document_id".split()), stem)
     return rows.select(F.when(is_json, name).otherwise(stem).alias("document_id"), F.when(is_json, text).otherwise(F.col("value")).alias("text"), "source_path")
+
+
+def abbreviation_pairs(files: DataFrame) -> DataFrame:
+    """document_id, short and long of abbreviation files (document_id, value: JSON with a list of short and long); those that would do harm go.
+
+    Dropped: blank or equal forms, long forms with bars or line breaks, short forms of one character, and of two in lower case. Text that is no JSON has no pairs.
+    """
+    listed = F.coalesce(F.from_json(F.get_json_object("value", "$.abbreviations"), "array<struct<short:string,long:string>>"), F.from_json("value", "array<struct<short:string,long:string>>"))
+    pairs = files.select("document_id", F.inline(listed)).select("document_id", F.trim("short").alias("short"), F.trim("long").alias("long"))
+    short, long = F.col("short"), F.col("long")
+    harmless = (long != "") & (F.lower(short) != F.lower(long)) & ~long.rlike(r"[|\n\r]") & (F.length(short) > 1) & ~((F.length(short) <= 2) & (F.lower(short) == short) & (F.upper(short) != short))
+    return pairs.where(harmless)

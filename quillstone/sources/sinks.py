@@ -30,3 +30,19 @@ def not_done(docs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def cached(items: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(items with what the cache holds, items it lacks), by content keys such as (model, document hash)."""
     return items.join(cache, keys), items.join(cache.select(*keys), keys, "left_anti")
+
+
+def write_ordered(rows: DataFrame, path: str, order: list[str]) -> None:
+    """JSON lines in the order of columns, across and within the numbered part files."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def cached_vectors(sentences: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
+    """(sentences with the cache's vectors, those it lacks): an entry counts if its model and the hashes of its document and sentence agree."""
+    asked = sentences.withColumn("model", F.lit(model))
+    return cached(asked, cache, ["model", "document_hash", "sentence_hash"])
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """Adds rows (model, document_hash, sentence_hash, vector) to a cache."""
+    vectors.select("model", "document_hash", "sentence_hash", "vector").write.mode("append").partitionBy("model").parquet(path)
