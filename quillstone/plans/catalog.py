@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import document_queries, entity_queries, retrieval_queries
+from quillstone.plans import document_queries, entity_queries, record_queries, retrieval_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **document_queries.QUERIES, **entity_queries.QUERIES, **retrieval_queries.QUERIES
+    **document_queries.QUERIES, **entity_queries.QUERIES, **record_queries.QUERIES, **retrieval_queries.QUERIES
+}
+ORACLE_SQL: dict[str, str] = {
+    **document_queries.ORACLE_SQL, **entity_queries.ORACLE_SQL, **record_queries.ORACLE_SQL, **retrieval_queries.ORACLE_SQL
 }
-ORACLE_SQL: dict[str, str] = {**document_queries.ORACLE_SQL, **entity_queries.ORACLE_SQL, **retrieval_queries.ORACLE_SQL}
