@@ -18,3 +18,18 @@ def test_empty(spark, empty, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf), name)
         assert docs.count() == 0
+
+
+def test_awkward_rows_through_all_stages(spark, awkward, sf):
+    docs, counts = awkward, []
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, written(stage(spark, docs, sf), name)
+        counts.append(docs.count())
+        if name != "packing":
+            assert docs.columns == awkward.columns and docs.where("id <> 'clash'").isEmpty()
+        if name == "near_duplicates":
+            once = before.where("doc_id IN (1, 2)").count() and 1
+            assert docs.where("doc_id IN (1, 2)").count() == once
+        if name == "mixing":
+            assert docs.where("text IS NULL OR text NOT RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").isEmpty()
+    assert counts[0] >= counts[1] >= counts[2]
