@@ -31,13 +31,27 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
     def walk(self, skip: frozenset = frozenset()) -> Iterator[Node]:
-        for child in self.children:
-            if isinstance(child, Node) and child.tag not in skip:
+        """All elements below, in order; however deep, without recursion."""
+        for child in self.content(skip):
+            if isinstance(child, Node):
                 yield child
-                yield from child.walk(skip)
+
+    def content(self, skip: frozenset = frozenset()) -> Iterator[Node | str]:
+        """All elements and strings below, in order."""
+        open_ = [iter(self.children)]
+        while open_:
+            for child in open_[-1]:
+                if isinstance(child, str):
+                    yield child
+                elif child.tag not in skip:
+                    yield child
+                    open_.append(iter(child.children))
+                    break
+            else:
+                open_.pop()
 
     def text(self, skip: frozenset = frozenset()) -> str:
-        return " ".join(c if isinstance(c, str) else c.text(skip) for c in self.children if isinstance(c, str) or c.tag not in skip)
+        return " ".join(c for c in self.content(skip) if isinstance(c, str))
 
     def find(self, *tags: str) -> Node | None:
         return next((n for n in self.walk() if n.tag in tags), None)
@@ -83,18 +97,20 @@ def xml_tree(data: str) -> Node | None:
     except ET.ParseError:
         return None
 
-    def copy(element) -> Node:
-        node = Node(str(element.tag).rpartition("}")[2].lower(), {k.rpartition("}")[2].lower(): v for k, v in element.attrib.items()})
+    made = lambda e: Node(str(e.tag).rpartition("}")[2].lower(), {k.rpartition("}")[2].lower(): v for k, v in e.attrib.items()})
+    top = made(root)
+    waiting = [(root, top)]
+    while waiting:
+        element, node = waiting.pop()
         if element.text:
             node.children.append(element.text)
         for child in element:
             if isinstance(child.tag, str):
-                node.children.append(copy(child))
+                node.children.append(made(child))
+                waiting.append((child, node.children[-1]))
             if child.tail:
                 node.children.append(child.tail)
-        return node
-
-    return copy(root)
+    return top
 
 
 # tables
@@ -246,8 +262,9 @@ def html_markdown(html: str, tables: Tables | None = None) -> list[str]:
     body = marked or tree.find("article") or tree.find("main") or tree.find("body") or tree
     skip, blocks = frozenset(SKIPPED), []
 
-    def visit(node: Node) -> None:
-        for child in node.children:
+    open_ = [iter(body.children)]
+    while open_:
+        for child in open_[-1]:
             if isinstance(child, str) or child.tag in skip:
                 continue
             text = squeeze(child.text(skip)) if child.tag in HEADINGS or child.tag in {"p", "li", "figcaption", "caption"} else ""
@@ -259,9 +276,10 @@ def html_markdown(html: str, tables: Tables | None = None) -> list[str]:
             if text:
                 blocks.extend(t for ref in _html_refs(child) if (t := tables.take(ref)))
             if child.tag != "table" and child.tag not in HEADINGS:
-                visit(child)
-
-    visit(body)
+                open_.append(iter(child.children))
+                break
+        else:
+            open_.pop()
     return [b for b in blocks if b]
 
 
@@ -283,28 +301,31 @@ def xml_markdown(data: str, tables: Tables | None = None) -> list[str]:
         found = [n.attrs.get("rid") or n.attrs.get("refid") or "" for n in node.walk() if n.tag in {"xref", "cross-ref", "float-anchor"} and n.attrs.get("ref-type", "table") == "table"]
         return list(dict.fromkeys(x for f in found for x in f.split()))
 
-    def visit(node: Node, level: int) -> None:
-        for child in node.children:
+    body = tree.find("body")
+    open_ = [(iter(body.children), 2)] if body is not None else []
+    while open_:
+        inside, level = open_[-1]
+        for child in inside:
             if isinstance(child, str):
                 continue
             if child.tag in sections:
                 heading = next((squeeze(t.text()) for t in child.own(*titles)), "")
                 if heading:
                     blocks.append("#" * min(level, 6) + " " + heading)
-                visit(child, level + 1)
-            elif child.tag in {"p", "para", "simple-para"}:
+                open_.append((iter(child.children), level + 1))
+                break
+            if child.tag == "sections":
+                open_.append((iter(child.children), level))
+                break
+            if child.tag in {"p", "para", "simple-para"}:
                 if text := squeeze(child.text(inner)):
                     blocks.append(text)
                 blocks.extend(any_table(n) for n in child.walk() if n.tag == "table-wrap")
                 blocks.extend(t for ref in refs(child) if (t := tables.take(ref)))
             elif child.tag in inner:
                 blocks.append(any_table(child))
-            elif child.tag == "sections":
-                visit(child, level)
-
-    body = tree.find("body")
-    if body is not None:
-        visit(body, 2)
+        else:
+            open_.pop()
     return [b for b in blocks if b]
 
 

@@ -32,6 +32,14 @@ def test_jats_and_generic_xml():
         markup.article_markdown("a.doc", "")
 
 
+def test_deep_markup():
+    deep = "<div>" * 5000 + "<p>inside</p>" + "</div>" * 5000
+    assert markup.html_markdown(deep) == ["inside"]
+    sections = "<sec><title>s</title>" * 2000 + "<p>low</p>" + "</sec>" * 2000
+    assert markup.xml_markdown(f"<article><body>{sections}</body></article>")[-1] == "low"
+    assert markup.article_markdown("a.xml", "<x>" * 3000 + "t" + "</x>" * 3000) == "t"
+
+
 def test_elsevier_and_cals():
     text = markup.article_markdown("content.xml", ELSEVIER, [("tables/tbl1.xml", CALS)])
     assert "## Introduction" in text and "| Region | x |" in text and "| V1 | 2 |" in text and "| both | both |" in text
