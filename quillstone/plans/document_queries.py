@@ -231,17 +231,10 @@ def q_token_windows(spark, sf_dir):
 
 
 @query(r"""
-    WITH d AS (SELECT doc_id, ' ' || regexp_replace(text, '[^A-Za-z0-9_]', '  ', 'g') || ' ' AS t FROM documents WHERE lang = 'en')
+    WITH d AS (SELECT doc_id, ' ' || regexp_replace(text, '[^A-Za-z0-9_]', '  ', 'g') || ' ' AS t FROM documents)
     SELECT doc_id, CAST(len(regexp_extract_all(t, ' the ')) AS BIGINT) AS n_the FROM d
 """)
 def q_term_mentions(spark, sf_dir):
-    english = read_table(spark, sf_dir, "documents").where("lang = 'en'")
-    return english.select("doc_id", text.mentions(F.col("text"), F.lit("the")).cast("long").alias("n_the"))
-
-
-@query()
-def q_term_mentions_all(spark, sf_dir):
-    """Mentions in every document, whatever its language; ``q_term_mentions`` and its SQL read English ones alone."""
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", text.mentions(F.col("text"), F.lit("the")).cast("long").alias("n_the"))
 

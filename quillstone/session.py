@@ -145,12 +145,3 @@ def _by_file(df: DataFrame) -> DataFrame:
     joined = rows.join(F.broadcast(known) if len(files) <= _BROADCAST_FILES else known, F.col("_path") == F.col("_file"), "left")
     number = F.coalesce("_n", F.raise_error(F.concat(F.lit("not among the files of the scan: "), "_path")).cast("long"))
     return joined.select("doc", (F.shiftleft(number, 40) + F.col("_place")).alias("row"))
-
-
-#: logical nodes that leave the rows of a scan in their places, whichever columns are read
-_IN_PLACE = {"Project", "Filter", "LogicalRelation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "View"}
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` with rows that keep their ``monotonically_increasing_id`` while the splits stay as they are."""
-    return df if set(_nodes(df._jdf.queryExecution().optimizedPlan())) <= _IN_PLACE else written(df, "settled")

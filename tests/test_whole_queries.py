@@ -1,4 +1,4 @@
-"""Queries over all rows against brute force, beside those whose SQL asks for a part."""
+"""Queries over all rows against brute force."""
 
 import re
 
@@ -17,7 +17,7 @@ def table(name):
 def test_every_passage_in_every_document(spark):
     asked, docs = table("benchmark"), table("documents")
     wanted = {(b["item_id"], d["doc_id"], d["text"].find(b["text"])) for b in asked for d in docs if b["text"] in (d["text"] or "")}
-    found = catalog.QUERIES["q_span_exact_all"](spark, BASE).collect()
+    found = catalog.QUERIES["q_span_exact"](spark, BASE).collect()
     assert {(r.item_id, r.doc_id, r.start) for r in found} == wanted and len(found) == len(wanted) > 20
     assert all(r.end - r.start == len(asked[r.item_id]["text"]) for r in found if asked[r.item_id]["item_id"] == r.item_id)
 
@@ -34,5 +34,5 @@ def test_exact_spans_of_cut_words_and_short_passages(spark):
 def test_mentions_in_documents_of_all_languages(spark):
     docs = table("documents")
     wanted = {d["doc_id"]: len(re.findall(r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])", d["text"])) for d in docs}
-    found = {r.doc_id: r.n_the for r in catalog.QUERIES["q_term_mentions_all"](spark, BASE).collect()}
+    found = {r.doc_id: r.n_the for r in catalog.QUERIES["q_term_mentions"](spark, BASE).collect()}
     assert found == wanted and len(found) == len(docs) and any(wanted[d["doc_id"]] for d in docs if d["lang"] != "en")
