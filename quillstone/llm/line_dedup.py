@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.tokens import release_memory
 from quillstone.session import checkpointed, numbered, written
 
 MIN_UNIT_WORDS = 4
@@ -141,6 +142,8 @@ def unit_digests(ranked: DataFrame, least: int) -> DataFrame:
                     found = []
         if found:
             yield out(found)
+        found = []
+        release_memory()
 
     return ranked.mapInArrow(run, UNIT)
 

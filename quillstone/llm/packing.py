@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.tokens import default_vocabulary, ragged_take, text_chunks, worker_encoder
+from quillstone.llm.tokens import default_vocabulary, ragged_take, release_memory, text_chunks, worker_encoder
 from quillstone.session import written
 
 CAPACITY = 1024
-#: text that a worker encodes at a time
-CHUNK_BYTES = 6 << 20
+#: text that a worker encodes at a time; it takes about 30 times as much memory
+CHUNK_BYTES = 2 << 20
 #: workers whose open sequences one task merges
 GROUP = 128
 #: a sequence id is a worker's or group's number times this, plus a counter
@@ -120,6 +120,7 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: st
         if held is not None:
             at = held.schema.get_field_index("open")
             yield from held.set_column(at, "open", pa.array(np.ones(len(held), bool))).to_batches(max_chunksize=1 << 14)
+        release_memory()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 

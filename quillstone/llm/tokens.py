@@ -9,6 +9,7 @@ each text by itself.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 #: distinct words a worker keeps between batches
 CACHE_WORDS = 400_000
 JOINED = 1000
+#: bytes of words or texts that the library encodes in one call: what it returns takes about 30 times as much until its ids are taken
+CALL_BYTES = 256 << 10
 
 
 @dataclass
@@ -44,7 +47,8 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     if not total:
         return flat[:0]
     at = np.cumsum(lengths) - lengths
-    index = np.arange(total, dtype=np.int64) + np.repeat(starts - at, lengths)
+    index = np.repeat(starts - at, lengths)
+    index += np.arange(total, dtype=np.int64)
     return flat[index]
 
 
@@ -62,7 +66,7 @@ class Encoder:
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
         self.cache_words = cache_words
-        self.words: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())  # word i has code 1 + i; Python's strings would take ten times as much
         self.fixed = self.fixed_ids = 0
         self.flat = np.empty(1 << 20, dtype=np.uint32)
         self.used = 0
@@ -82,17 +86,28 @@ class Encoder:
         self.used, self.count = need, first + len(lengths)
         return first
 
+    def _library_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of each text, ``CALL_BYTES`` a call or one text."""
+        runs: list[np.ndarray] = []
+        at = held = 0
+        for to, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= CALL_BYTES or to == len(texts):
+                runs += [np.asarray(x.ids, dtype=np.uint32) for x in self.library.encode_batch_fast(texts[at:to], add_special_tokens=False)]
+                at, held = to, 0
+        return runs
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids and lengths of words that each follow one space."""
         parts = [" " + " ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
-        ids = np.concatenate([np.asarray(x.ids, dtype=np.uint32) for x in self.library.encode_batch_fast(parts, add_special_tokens=False)])
+        ids = np.concatenate(self._library_ids(parts))
         first = np.flatnonzero(self.opens[ids])
         if len(first) != len(words):
             raise ValueError("the vocabulary does not cut words at spaces")
         return ids, np.diff(first, append=len(ids)).astype(np.int64)
 
     def _encode_whole(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        runs = [np.asarray(x.ids, dtype=np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        runs = self._library_ids(texts)
         return runs, np.asarray([len(x) for x in runs], dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> Segments:
@@ -112,27 +127,26 @@ class Encoder:
         encoded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
         index = encoded.indices.to_numpy()
-        distinct = encoded.dictionary.to_pylist()
+        distinct = encoded.dictionary
 
-        known = self.words
-        code = np.fromiter((known.get(w, -1) for w in distinct), dtype=np.int64, count=len(distinct))
+        code = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=self.words), -2)).astype(np.int64) + 1
         unknown = np.flatnonzero(code < 0)
-        fresh = [i for i in unknown.tolist() if distinct[i] and not distinct[i][0].isspace()]
-        if fresh:
-            words = [distinct[i] for i in fresh]
-            first = self._store(*self._encode_words(words))
-            code[fresh] = np.arange(first, first + len(fresh))
-            room = max(0, self.cache_words - len(known))
+        words = distinct.take(pa.array(unknown)).to_pylist()
+        fresh = np.asarray([i for i, w in enumerate(words) if w and not w[0].isspace()], dtype=np.int64)
+        if len(fresh):
+            unknown = unknown[fresh]
+            first = self._store(*self._encode_words([words[i] for i in fresh.tolist()]))
+            code[unknown] = np.arange(first, first + len(fresh))
+            room = min(max(0, self.cache_words - len(self.words)), len(fresh))
             if room and self.fixed == first:
-                for i, w in enumerate(words[:room], first):
-                    known[w] = i
-                self.fixed = first + min(room, len(words))
-                self.fixed_ids = int(self.starts[-1][self.fixed - first - 1] + self.lengths[-1][self.fixed - first - 1])
+                self.words = pa.concat_arrays([self.words, distinct.take(pa.array(unknown[:room]))])
+                self.fixed = first + room
+                self.fixed_ids = int(self.starts[-1][room - 1] + self.lengths[-1][room - 1])
         codes = code[index]  # -1: not a word that the tokens of its neighbours leave alone
 
         # the first word of a text follows no space
         heads = offsets[:-1]
-        runs, lengths = self._encode_whole([distinct[i] for i in index[heads].tolist()]) if len(heads) else ([], np.empty(0, np.int64))
+        runs, lengths = self._encode_whole(distinct.take(pa.array(index[heads])).to_pylist()) if len(heads) else ([], np.empty(0, np.int64))
         if len(heads):
             first = self._store(runs, lengths)
             codes[heads] = np.arange(first, first + len(heads))
@@ -178,6 +192,16 @@ def text_chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[
         yield pa.concat_arrays(ids), pa.concat_arrays(texts)
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker shares its executor's limit with the JVM, and is kept idle for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim is not None:
+        _malloc_trim(0)
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -5,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import packing, repair
+from quillstone.llm import packing, repair, tokens
 from quillstone.llm.tokens import Encoder, default_vocabulary, ragged_take
 from tests.llm.conftest import awkward_rows
 
@@ -31,6 +34,41 @@ def test_encoder_equals_the_library(library, cache):
             assert ids[a:b].tolist() == library(text), text
 
 
+def test_library_calls_are_bounded(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CALL_BYTES", 500)
+    encoder, calls = Encoder(default_vocabulary()), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(sum(map(len, texts[:-1])))
+            return real.encode_batch_fast(texts, **options)
+
+    real, encoder.library = encoder.library, Watched()
+    texts = [f"w{i} of\n {i}  x" for i in range(200)] + [" ".join(f"v{i}" for i in range(3000))]
+    s = encoder.encode(pa.array(texts))
+    ids, ends = ragged_take(s.flat, s.starts[s.codes], s.lengths[s.codes]), np.cumsum(s.token_counts())
+    assert [ids[a:b].tolist() for a, b in zip(np.append(0, ends), ends)] == [library(t) for t in texts]
+    assert max(calls) < 500
+
+
+WORKER = """
+import random, resource, pyarrow as pa
+from quillstone.llm import packing, tokens
+rng = random.Random(3)
+texts = pa.array([" ".join(f"{rng.randrange(1 << 40):x}" for _ in range(1000)) for _ in range(1500)])
+batch = pa.record_batch([pa.array(range(1500)), texts], names=["id", "text"])
+encoder, filler = tokens.Encoder(tokens.default_vocabulary()), packing.ClassFiller(1024, 0)
+for ids, chunk in tokens.text_chunks(iter([batch]), packing.CHUNK_BYTES):
+    packing._pieces(encoder.encode(chunk), ids, filler, 0, 1024, 0)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+
+
+def test_memory_of_a_packing_worker():
+    out = subprocess.run([sys.executable, "-c", WORKER], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(packing.__file__)) + "/..")
+    assert int(out.stdout) < 420, out.stderr
+
+
 def test_grammar_round_trip_and_random_access(library):
     texts = [r[1] for r in awkward_rows()] + ["the cat sat on the mat. " * 300]
     encoder = Encoder(default_vocabulary())
