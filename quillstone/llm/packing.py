@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.tokens import default_vocabulary, ragged_take, release_memory, text_chunks, worker_encoder
-from quillstone.session import written
+from quillstone.session import batches_of, written
 
 CAPACITY = 1024
 #: text that a worker encodes at a time; it takes about 30 times as much memory
 CHUNK_BYTES = 2 << 20
+#: text that the JVM sends a worker at a time; both hold it, the JVM up to twice
+BATCH_BYTES = 4 << 20
 #: workers whose open sequences one task merges
 GROUP = 128
 #: a sequence id is a worker's or group's number times this, plus a counter
@@ -185,7 +187,8 @@ def pack(
     Returns doc_id, start, length, doc_tokens, ids (uint32, little-endian), sequence_id, offset. Each id of a
     document, its end id included, lies in one piece; a sequence's pieces follow each other from offset 0.
     """
-    pieces = written(tokenised_pieces(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id, capacity), "pieces")
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        pieces = written(tokenised_pieces(docs, id_col, text_col, vocabulary or default_vocabulary(), end_id, capacity), "pieces")
     group = F.floor(F.col("worker") / GROUP).alias("group")
     merged = pieces.where("open").groupBy(group).applyInArrow(_merge(capacity), PIECE)
     return pieces.where("NOT open").unionByName(merged).drop("worker", "open")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import packing, repair, tokens
 from quillstone.llm.tokens import Encoder, default_vocabulary, ragged_take
+from quillstone.session import written
 from tests.llm.conftest import awkward_rows
 
+NAME = "spark.sql.execution.arrow.maxBytesPerBatch"
 ODD = [None, "", " ", "  ", "a  b", " x", "x ", "a\n b", "a \n b", "\n", "naïve x　y z", "x\ty  ", "<|endoftext|> hi", "é" * 50, "don't we'll  "]
 
 
@@ -139,6 +141,13 @@ def test_pack_awkward_rows(awkward, library):
     assert b"".join(x for _, x in parts) == np.array(library(awkward_rows()[6][1]) + [0], "<u4").tobytes()
 
 
+def test_packing_bounds_the_batches(spark, awkward, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "written", lambda df, label: seen.append(spark.conf.get(NAME)) or written(df, label))
+    before = spark.conf.get(NAME)
+    assert packing.pack(awkward).count() and seen == [str(packing.BATCH_BYTES)] and spark.conf.get(NAME) == before
+
+
 def test_cuts_cover_every_length():
     counts = np.arange(1, 3000)
     document, start, length = packing.cut_documents(counts, 1024)
