@@ -2,8 +2,8 @@
 
 A shard holds consecutive documents. Its grammar grows by rounds: the most frequent pairs of adjacent
 symbols become nonterminals and all their occurrences are replaced, until no pair is frequent enough or
-the 16-bit symbol space is full; a vocabulary that leaves it no room is an error. Pairs do not cross word starts, so that the rounds run over the distinct
-words of a shard, weighted by their counts, and every occurrence of a word gets the same symbols.
+the 16-bit symbol space is full; a vocabulary that leaves it no room is an error. Pairs are counted over the whole ids of the
+shard's documents, end ids included, across words, lines and sentences alike; they end at documents alone, so that each is decoded by itself.
 The file holds the rules, the expansion length of every nonterminal, the symbols, and for each document the place of its
 first symbol and first id, from which any document, or any id within one, is decoded by itself.
 
@@ -40,51 +40,99 @@ SHARD_BYTES = 24 << 20
 PART_BYTES, MOST_PARTS = 256 << 20, 500_000
 PAIRS_A_ROUND = 2048
 LEAST_COUNT = 16
+#: places that are worked on at a time
+BLOCK = 1 << 19
 
 
-def grow_grammar(flat: np.ndarray, lengths: np.ndarray, weights: np.ndarray, vocabulary: int):
-    """Re-Pair over weighted runs. Returns (flat, lengths) in symbols and the rules as pairs.
+def grow_grammar(flat: np.ndarray, lengths: np.ndarray, weights: np.ndarray | None, vocabulary: int):
+    """Re-Pair over runs, each counted ``weights`` times (None: once). Returns (flat, lengths) in symbols and the rules as pairs.
 
     Nonterminal ``vocabulary + i`` stands for rules[i]. Each round makes rules of the heaviest pairs and replaces
-    their occurrences; where occurrences overlap, the heavier pair, then the left one, goes first.
+    their occurrences; where occurrences overlap, the heavier pair, then the left one, goes first. A pair may be of any
+    two neighbours within a run.
     """
-    flat = flat.astype(np.int64)
-    run = np.repeat(np.arange(len(lengths)), lengths)
+    none = SYMBOLS - 1  # no rank: ranks are below PAIRS_A_ROUND
+    flat, runs = flat.astype(np.uint16), lengths[lengths > 0]
+    last = np.zeros(len(flat), dtype=bool)  # the last symbol of a run
+    last[np.cumsum(runs) - 1] = True
+    weight = None if weights is None else np.repeat(weights, lengths)
     rules = np.empty((0, 2), dtype=np.int64)
     while True:
         room = min(PAIRS_A_ROUND, SYMBOLS - vocabulary - len(rules))
         if room <= 0 or len(flat) < 2:
             break
-        inside = run[:-1] == run[1:]
-        key = np.where(inside, flat[:-1] * SYMBOLS + flat[1:], -1)
-        bucket = (key * 0x9E3779B97F4A7C1 & 0x7FFFFFFFFFFFFFFF) >> 43  # 20 bits
-        heavy = np.bincount(bucket[inside], weights=weights[run[:-1][inside]], minlength=1 << 20)
+        key = (flat[:-1].astype(np.uint32) << 16) | flat[1:]
+        blocks = [slice(i, min(i + BLOCK, len(key))) for i in range(0, len(key), BLOCK)]
+        heavy = np.zeros(1 << 20)
+        for x in blocks:
+            inside = ~last[x]
+            heavy += np.bincount(_bucket(key[x][inside]), weights=None if weight is None else weight[x][inside], minlength=1 << 20)
         bar = max(LEAST_COUNT, np.partition(heavy, -2 * room)[-2 * room])
-        at = np.flatnonzero(inside & (heavy[bucket] >= bar))
+        wide = heavy >= bar
+        at = np.concatenate([np.flatnonzero(~last[x] & wide[_bucket(key[x])]) + x.start for x in blocks])
         if not len(at):
             break
-        pairs, place = np.unique(key[at], return_inverse=True)
-        count = np.bincount(place, weights=weights[run[at]])
+        key = key[at]
+        ordered = np.sort(key)
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        pairs = ordered[first]
+        if weight is None:
+            count = np.diff(first, append=len(ordered))
+        else:
+            count = np.bincount(np.searchsorted(pairs, key), weights=weight[at])
+        del ordered
         order = np.argsort(-count, kind="stable")[:room]
         order = order[count[order] >= LEAST_COUNT]
         if not len(order):
             break
-        rank = np.full(len(pairs), SYMBOLS, dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        prio = np.full(len(flat) + 1, SYMBOLS, dtype=np.int64)  # by the place of a pair's left symbol
-        prio[at + 1] = rank[place]
-        prio = np.append(prio, SYMBOLS)
+        by_key = np.sort(order)
+        rank = np.empty(len(by_key), dtype=np.uint16)
+        rank[np.searchsorted(by_key, order)] = np.arange(len(order))
+        taken = pairs[by_key]
+        place = np.minimum(np.searchsorted(taken, key), len(taken) - 1)
+        prio = np.full(len(flat) + 2, none, dtype=np.uint16)  # by the place of a pair's left symbol, one on
+        prio[at + 1] = np.where(taken[place] == key, rank[place], none)
+        del key, at, place
         here = prio[1:-1]
-        chosen = np.flatnonzero((here < SYMBOLS) & (here < prio[:-2]) & (here <= prio[2:]))
-        used = np.unique(here[chosen])  # pairs that always lost to heavier ones make no rule
-        fresh = np.full(SYMBOLS, -1, dtype=np.int64)
+        chosen = np.flatnonzero((here < none) & (here < prio[:-2]) & (here <= prio[2:]))
+        used = np.flatnonzero(np.bincount(here[chosen]))  # pairs that always lost to heavier ones make no rule
+        fresh = np.zeros(SYMBOLS, dtype=np.uint16)
         fresh[used] = vocabulary + len(rules) + np.arange(len(used))
-        rules = np.concatenate([rules, np.stack([pairs[order[used]] // SYMBOLS, pairs[order[used]] % SYMBOLS], axis=1)])
+        made = pairs[order[used]].astype(np.int64)
+        rules = np.concatenate([rules, np.stack([made // SYMBOLS, made % SYMBOLS], axis=1)])
         flat[chosen] = fresh[here[chosen]]
+        last[chosen] = last[chosen + 1]
         keep = np.ones(len(flat), dtype=bool)
         keep[chosen + 1] = False
-        flat, run = flat[keep], run[keep]
-    return flat, np.bincount(run, minlength=len(lengths)), rules
+        flat, last = flat[keep], last[keep]
+        weight = None if weight is None else weight[keep]
+    grown = np.zeros(len(lengths), dtype=np.int64)
+    grown[lengths > 0] = np.diff(np.flatnonzero(last) + 1, prepend=0)
+    return flat, grown, rules
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    """20 bits of a pair."""
+    return (key * np.uint32(0x9E3779B1)) >> np.uint32(12)
+
+
+def id_stream(segments: Segments, end_id: int) -> np.ndarray:
+    """The ids of all documents, each with its end id, made in blocks."""
+    counts = segments.token_counts() + 1
+    stream = np.empty(int(counts.sum()), dtype=np.uint16)
+    ends = np.cumsum(counts)
+    hole = np.ones(len(stream), dtype=bool)
+    hole[ends - 1] = False
+    flat = np.empty(len(stream) - len(counts), dtype=np.uint16)
+    at = 0
+    for i in range(0, len(segments.codes), BLOCK):
+        codes = segments.codes[i : i + BLOCK]
+        part = ragged_take(segments.flat, segments.starts[codes], segments.lengths[codes])
+        flat[at : at + len(part)] = part
+        at += len(part)
+    stream[hole] = flat
+    stream[ends - 1] = end_id
+    return stream
 
 
 def expansions(rules: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,30 +149,16 @@ def encode_shard(segments: Segments, doc_ids: list[int | None], vocabulary: int,
     """The bytes of a shard: grammar, symbols and index of its documents."""
     if max(vocabulary, end_id + 1) > SYMBOLS:
         raise ValueError(f"ids up to {max(vocabulary - 1, end_id)} do not fit {SYMBOLS} symbols")
-    counted = np.bincount(segments.codes, minlength=len(segments.starts))  # codes are small and dense: no sort
-    used = np.flatnonzero(counted)
-    place = np.zeros(len(counted), dtype=np.int64)
-    place[used] = np.arange(len(used))
-    inverse, lengths = place[segments.codes], segments.lengths[used]
-    flat = ragged_take(segments.flat, segments.starts[used], lengths)
-    flat, lengths, rules = grow_grammar(flat, lengths, counted[used].astype(float), vocabulary)
-    # the end id is one more run, put in after each document's last
-    flat = np.append(flat, end_id)
-    lengths = np.append(lengths, 1)
-    codes = np.insert(inverse, segments.ends, len(lengths) - 1)
-    ends = segments.ends + np.arange(1, len(segments.ends) + 1)
-    starts = np.cumsum(lengths) - lengths
-    symbols = ragged_take(flat, starts[codes], lengths[codes]).astype(np.uint16)
-    by_doc = np.concatenate(([0], np.cumsum(lengths[codes])))
-    _, _, grown = expansions(rules, vocabulary)
     counts = segments.token_counts() + 1
+    symbols, lengths, rules = grow_grammar(id_stream(segments, end_id), counts, None, vocabulary)
+    _, _, grown = expansions(rules, vocabulary)
     blocks = {
         "rules": rules.astype("<u2"),
         "lengths": grown[vocabulary:].astype("<u4"),
         "symbols": symbols.astype("<u2"),
         "docs": np.asarray([x or 0 for x in doc_ids], dtype="<i8"),
         "nulls": np.asarray([x is None for x in doc_ids], dtype="u1"),
-        "symbol_starts": np.concatenate(([0], by_doc[ends])).astype("<i8"),
+        "symbol_starts": np.concatenate(([0], np.cumsum(lengths))).astype("<i8"),
         "id_starts": np.concatenate(([0], np.cumsum(counts))).astype("<i8"),
     }
     import zstandard

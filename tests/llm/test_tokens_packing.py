@@ -102,6 +102,16 @@ def test_grammar_grows_until_no_pair_is_frequent():
     assert np.array_equal(ragged_take(grown, starts[out], size[out]), flat)
 
 
+def test_rules_cross_word_starts(library):
+    phrase = "licensed under the terms of the agreement between all parties\n"
+    texts = [phrase * k for k in (0, 1, 8, 40)]
+    encoder = Encoder(default_vocabulary())
+    shard = repair.Shard(repair.encode_shard(encoder.encode(pa.array(texts)), [1, 2, 3, 4], 50257, 2))
+    for i, text in enumerate(texts):
+        assert shard.document(i).tolist() == library(text) + [2]
+    assert np.diff(shard.symbol_starts)[3] < 40  # under a symbol a phrase of ten words
+
+
 def test_ids_beyond_the_symbols_are_an_error():
     encoder = Encoder(default_vocabulary())
     with pytest.raises(ValueError):
