@@ -4,10 +4,11 @@ DataFrame operations alone. Texts of equal words are collapsed into one class fi
 never meet in pairs. Signatures are made within a row, by one-permutation hashing: as many hash functions as a band has rows,
 each giving one value for every band. Texts of few grams would have the same few values in all bands, so below ``FEW`` grams
 every value has a hash function of its own; texts that may link to one of these have bands of both kinds. Bands are shuffled on
-their hashes; a large bucket is cut into blocks of members, and pairs are made block against block, so that a hot bucket spreads over
-many tasks. Each pair is verified once: n-gram sets are sent to blocks
-of at most about ``2 * BLOCK`` texts that share a bucket, not once a pair. Groups are connected components of the verified
-links.
+their hashes. Texts are first verified against the least row of each of their buckets; texts these links join are a family. Links within
+a large family are counted from bits of its commonest grams, block against block, with no row a pair. Other pairs of a bucket
+are made block against block too, so that a hot bucket spreads over many tasks, and dropped on the spot if their sizes and bits
+rule the threshold out. What is left is verified once: n-gram sets are sent to blocks of at most about ``2 * BLOCK`` texts that share
+a bucket, not once a pair. Groups are connected components of the verified links.
 
 ``choose_bands`` picks the widest bands that reach the wanted recall at the threshold within a number of hashes.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.components import components
@@ -32,6 +33,10 @@ from quillstone.session import checkpointed, numbered, written
 PRIME = (1 << 31) - 1
 BLOCK = 64
 BUCKET_BLOCK = 256
+#: least members of a family whose pairs are counted at once, how many times the pairs of its buckets they may be, members of a block
+FAMILY, FAMILY_PAIRS, FAMILY_BLOCK = 64, 2, 1024
+#: longs of bits that stand for a text's grams
+WORDS = 8
 #: texts of fewer grams have independent minima
 FEW = 64
 #: rows of one long up to this number are broadcast (16 MB at most); more are joined by shuffle
@@ -147,24 +152,129 @@ def permutation_bands(grams: Column, bands: int, rows: int, rng: random.Random)
     return F.transform(F.array(grams), of)[0]
 
 
-def candidate_pairs(prepared: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, seed: int, threshold: float) -> DataFrame:
-    """a < b: rows of classes that share a band; hub: the least row of such a bucket."""
+def shared_bands(prepared: DataFrame, classes: DataFrame, n: int, bands: int, rows: int, seed: int, threshold: float) -> DataFrame:
+    """band, rep, n and hub: the classes in each bucket of two and more, its size and its least row."""
     signed = _wordy(prepared).select("row", F.transform(F.array(grams_of(F.col("norm"), n)), lambda g: band_hashes(g, bands, rows, seed, threshold))[0].alias("bands"))
     signed = signed.join(classes.select(F.col("rep").alias("_rep")), F.col("row") == F.col("_rep"), "left_semi")
     placed = signed.select(F.col("row").alias("rep"), F.explode_outer("bands").alias("band"))
     placed = written(placed, "bands")
     buckets = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    held = placed.join(buckets, "band")
+    return written(placed.join(buckets, "band"), "buckets")
+
+
+def gram_sets(prepared: DataFrame, held: DataFrame, n: int) -> DataFrame:
+    """row and grams of the texts that share a bucket."""
+    rows = checkpointed(held.select(F.col("rep").alias("_row")).distinct())
+    wanted = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    sets = _wordy(prepared.join(wanted, F.col("row") == F.col("_row"), "left_semi"))
+    return written(sets.select("row", grams_of(F.col("norm"), n).alias("grams")), "grams")
+
+
+def families(held: DataFrame, stars: DataFrame) -> DataFrame:
+    """row, family and m (its members): texts of those families whose pairs are all counted at once.
+
+    A family is a component of the links between texts and the hubs of their buckets. All pairs of a family are looked at where
+    they are no more than a few times those that its buckets hold; wide families of few candidates stay with their buckets.
+    """
+    labels = components(stars)
+    large = labels.groupBy("label").agg(F.count("*").alias("m")).where(F.col("m") >= FAMILY)
+    member = checkpointed(labels.join(large, "label").select(F.col("vertex").alias("row"), F.col("label").alias("family"), "m"))
+    met = held.join(member, F.col("rep") == F.col("row")).groupBy("family", "m", "band").agg(F.count("*").cast("double").alias("c"))
+    met = met.groupBy("family", "m").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("met"))
+    dense = met.where(F.col("m").cast("double") * (F.col("m") - 1) / 2 <= FAMILY_PAIRS * F.col("met")).select("family")
+    return checkpointed(member.join(dense, "family", "left_semi"))
+
+
+def _words(place: Column) -> list[Column]:
+    """Aggregates: the bits of the places from 0 to ``64 * WORDS - 1``, as longs."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    return [F.coalesce(F.bit_or(F.when(F.shiftright(place, 6) == w, bit)), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)]
+
+
+def _reaches(both: Column, sizes: Column, threshold: float) -> Column:
+    return both / (sizes - both) >= threshold
+
+
+def family_sets(grams: DataFrame, members: DataFrame) -> DataFrame:
+    """family, m, row, size, w0, w1, .. and rare: a member's grams that others of the family have, the commonest as bits of the words."""
+    each = grams.join(members, "row").select("family", "m", "row", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    each = written(each, "family")
+    known = each.groupBy("family", "m", "gram").agg(F.count("*").alias("df")).where("df > 1")
+    # a bounded number of grams can stand in every 64th member
+    common = known.where(F.col("df") * 64 >= F.col("m"))
+    order = Window.partitionBy("family").orderBy(F.col("df").desc(), "gram")
+    common = common.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < 64 * WORDS)
+    places = known.select("family", "gram").join(common.select("family", "gram", "place"), ["family", "gram"], "left")
+    told = each.join(places, ["family", "gram"])
+    rare = F.collect_list(F.when(F.col("place").isNull(), F.col("gram")))
+    return written(told.groupBy("family", "m", "row", "size").agg(*_words(F.col("place")), rare.alias("rare")), "family_sets")
+
+
+def _family_pairs(sets: DataFrame) -> tuple[DataFrame, Column]:
+    """All pairs of rows a and b within families, block against block, and the grams they have in common among the commonest."""
+    parts = F.ceil(F.col("m") / FAMILY_BLOCK)
+    placed = sets.withColumn("part", F.pmod(F.xxhash64("row"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("row", "size", "rare", *(f"w{w}" for w in range(WORDS)))]
+    left = placed.select("family", F.col("part").alias("here"), F.col("other").alias("there"), *side("a"))
+    right = placed.select("family", F.col("other").alias("here"), F.col("part").alias("there"), *side("b"))
+    both = sum((F.bit_count(F.col(f"w{w}_a").bitwiseAND(F.col(f"w{w}_b"))) for w in range(1, WORDS)), F.bit_count(F.col("w0_a").bitwiseAND(F.col("w0_b"))))
+    return left.join(right, ["family", "here", "there"]), both
+
+
+def family_degrees(sets: DataFrame, threshold: float) -> DataFrame:
+    """vertex and n_links within its family. Rare grams are compared only where the common ones leave a pair open."""
+    pairs, both = _family_pairs(sets)
+    sizes = F.col("size_a") + F.col("size_b")
+    most = both + F.least(F.size("rare_a"), F.size("rare_b"))
+    linked = (
+        F.when(_reaches(both, sizes, threshold), True).when(~_reaches(most, sizes, threshold), False)
+        .otherwise(_reaches(both + F.size(F.array_intersect("rare_a", "rare_b")), sizes, threshold))
+    )
+    return pairs.where((F.col("row_a") != F.col("row_b")) & linked).groupBy(F.col("row_a").alias("vertex")).agg(F.count("*").alias("n_links"))
+
+
+def family_links(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b and jaccard of the linked pairs within families."""
+    pairs, common = _family_pairs(sets)
+    both = common + F.size(F.array_intersect("rare_a", "rare_b"))
+    found = pairs.where(F.col("row_a") < F.col("row_b")).select(
+        F.col("row_a").alias("a"), F.col("row_b").alias("b"), (both / (F.col("size_a") + F.col("size_b") - both)).alias("jaccard")
+    )
+    return found.where(F.col("jaccard") >= threshold)
+
+
+def candidate_pairs(held: DataFrame, grams: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """a < b: rows that share a band and are not of one family; hub: the least row of such a bucket.
+
+    In a bucket with a family's members all rows meet those outside its main family alone. Pairs that cannot reach the threshold are
+    dropped as they are made: a bit that only one of two texts has stands for a gram that the other lacks.
+    """
+    tagged = held.join(members.select(F.col("row").alias("rep"), "family"), "rep", "left")
+    main = tagged.where("family IS NOT NULL").groupBy("band", "family").agg(F.count("*").alias("c"))
+    main = main.groupBy("band").agg(F.max(F.struct("c", "family")).alias("main")).select("band", "main.c", F.col("main.family").alias("main"))
+    tagged = tagged.join(main, "band", "left").where("c IS NULL OR c < n")
+    tagged = written(tagged.withColumn("outside", F.coalesce(F.col("family") != F.col("main"), F.lit(True))), "loose")
+    each = grams.join(tagged.select(F.col("rep").alias("row")).distinct(), "row", "left_semi")
+    each = each.select(F.col("row").alias("rep"), F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    bits = each.groupBy("rep", "size").agg(*_words(F.pmod("gram", F.lit(64 * WORDS).cast("long"))))
     parts = F.ceil(F.col("n") / BUCKET_BLOCK)
-    held = held.withColumn("part", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    block = [F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high")]
-    left = held.select("band", "hub", *block, F.col("part").alias("part_a"), F.col("rep").alias("a"))
-    right = held.select("band", *block, F.col("part").alias("part_b"), F.col("rep").alias("b"))
-    pairs = left.join(right, ["band", "low", "high"]).where("a < b AND (low = high OR part_a <> part_b)")
-    return pairs.groupBy("a", "b").agg(F.min("hub").alias("hub"))
+    placed = tagged.join(bits, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("rep", "size", "family", "outside", *(f"w{w}" for w in range(WORDS)))]
+    left = placed.select("band", "hub", F.col("part").alias("here"), F.col("other").alias("there"), *side("a"))
+    right = placed.where("outside").select("band", F.col("other").alias("here"), F.col("part").alias("there"), *side("b"))
+
+    def lacking(s: str, t: str) -> Column:
+        counts = [F.bit_count(F.col(f"w{w}_{s}").bitwiseAND(F.bitwise_not(F.col(f"w{w}_{t}")))) for w in range(WORDS)]
+        return sum(counts[1:], counts[0])
 
+    most = F.least(F.col("size_a") - lacking("a", "b"), F.col("size_b") - lacking("b", "a"))
+    once = (F.col("rep_a") < F.col("rep_b")) | ~F.col("outside_a")
+    apart = F.coalesce(F.col("family_a") != F.col("family_b"), F.lit(True))
+    pairs = left.join(right, ["band", "here", "there"]).where(once & apart & _reaches(most, F.col("size_a") + F.col("size_b"), threshold))
+    return pairs.groupBy(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).agg(F.min("hub").alias("hub"))
 
-def verified_links(prepared: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
+
+def verified_links(grams: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """a, b and jaccard of the pairs whose full n-gram sets reach the threshold."""
     ends = pairs.select("hub", F.explode(F.array("a", "b")).alias("row")).distinct()
     parts = ends.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
@@ -172,10 +282,7 @@ def verified_links(prepared: DataFrame, pairs: DataFrame, n: int, threshold: flo
     placed = pairs.join(parts, "hub").select("a", "b", F.xxhash64("hub", F.least(place("a"), place("b")), F.greatest(place("a"), place("b"))).alias("block"), "hub")
     placed = checkpointed(placed)
     needed = placed.select("block", F.explode(F.array("a", "b")).alias("row")).distinct()
-    rows = checkpointed(needed.select(F.col("row").alias("_row")).distinct())
-    wanted = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    held = _wordy(prepared.join(wanted, F.col("row") == F.col("_row"), "left_semi")).select("row", grams_of(F.col("norm"), n).alias("grams"))
-    sets = needed.join(held, "row").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", "grams"))).alias("sets"))
+    sets = needed.join(grams, "row").groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", "grams"))).alias("sets"))
     work = placed.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("pairs")).join(sets, "block")
 
     def verify(pair: Column) -> Column:
@@ -203,15 +310,26 @@ def near_duplicates(
     return _near_duplicates(_prepared(numbered(docs), id_col, text_col), n, threshold, recall, hashes, seed)
 
 
-def _near_duplicates(prepared: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98, hashes: int = 96, seed: int = 4) -> tuple[DataFrame, DataFrame]:
-    """``near_duplicates`` of rows (id, text, row)."""
+def _near_duplicates(prepared: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98, hashes: int = 96, seed: int = 4, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``near_duplicates`` of rows (id, text, row). Unless ``counted``, links within families are neither counted nor given."""
     bands, rows = choose_bands(threshold, recall, hashes)
     norm = F.nullif(normalised(F.col("text")), F.lit(""))
     keyed = checkpointed(prepared.select("id", "row", _key(norm).alias("key")))
     classes = checkpointed(text_classes(keyed))
-    links = checkpointed(verified_links(prepared, candidate_pairs(prepared, classes, n, bands, rows, seed, threshold), n, threshold))
-    groups = components(links)
+    held = shared_bands(prepared, classes, n, bands, rows, seed, threshold)
+    grams = gram_sets(prepared, held, n)
+    # each text against the hubs of its buckets: these links join the families
+    spokes = checkpointed(held.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "hub").distinct())
+    stars = checkpointed(verified_links(grams, spokes, threshold))
+    members = families(held, stars)
+    links = checkpointed(verified_links(grams, candidate_pairs(held, grams, members, threshold), threshold))
+    groups = components(links.select("a", "b").unionByName(stars.select("a", "b")))
     degree = links.select(F.explode(F.array("a", "b")).alias("vertex")).groupBy("vertex").agg(F.count("*").alias("n_links"))
+    if counted and not members.isEmpty():
+        sets = family_sets(grams, members)
+        degree = degree.unionByName(family_degrees(sets, threshold)).groupBy("vertex").agg(F.sum("n_links").alias("n_links"))
+        links = links.unionByName(family_links(sets, threshold))
+    degree = checkpointed(degree)
 
     # the smallest id of each group speaks for it
     member = classes.join(groups, F.col("rep") == F.col("vertex"), "left").withColumn("label", F.coalesce("label", "rep"))
@@ -249,7 +367,7 @@ def text_classes(keyed: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; all columns as they came."""
     rows = numbered(docs)
-    found, _ = _near_duplicates(_prepared(rows, id_col, text_col), **options)
+    found, _ = _near_duplicates(_prepared(rows, id_col, text_col), counted=False, **options)
     dropped = checkpointed(found.where("NOT kept").select(F.col("row").alias("_row")))
     gone = F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped
     return rows.join(gone, F.col("row") == F.col("_row"), "left_anti").select("doc.*")

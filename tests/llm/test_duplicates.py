@@ -62,6 +62,32 @@ def test_hot_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in documents.collect()} == {(0, 29)}
 
 
+def test_pairs_verified_grow_with_the_texts(spark, monkeypatch):
+    """A family of near-copies and short texts around one sentence: every link is counted, though few pairs are verified one by one."""
+    monkeypatch.setattr(ngram_join, "FAMILY_BLOCK", 50)
+    rng = random.Random(21)
+    words, sentence = prose(7, 200).split(), [f"s{i}" for i in range(14)]
+    texts = {" ".join(w if rng.random() > rate else f"z{rng.randrange(30)}" for w in words) for rate in (0.01, 0.04, 0.07, 0.1) for _ in range(60)}
+    texts |= {" ".join([*sentence, *(f"t{i}x{k}" for k in range(10 + i % 9))]) for i in range(240)}
+    texts = sorted(texts)
+    verified, verify = [], ngram_join.verified_links
+
+    def counting(prepared, pairs, *rest):
+        verified.append(pairs.count())
+        return verify(prepared, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified_links", counting)
+    documents, links = ngram_join.near_duplicates(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA).coalesce(1))
+    rows = documents.collect()
+    sets = [grams(t) for t in texts]
+    wanted = {(a, b): jaccard(sets[a], sets[b]) for a in range(len(sets)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.5}
+    at = {r.row: r.id for r in rows}
+    found = {(max(at[r.a], at[r.b]), min(at[r.a], at[r.b])): r.jaccard for r in links.collect()}
+    assert len(wanted) > 10_000 and found == wanted and links.count() == len(wanted)
+    assert all(r.n_links == sum(r.id in pair for pair in wanted) for r in rows)
+    assert sum(verified) < len(wanted) / 4
+
+
 def test_joined_copies_of_many_rows(spark, monkeypatch, awkward, empty):
     monkeypatch.setattr(ngram_join, "SALT_ROWS", 100)
     docs = spark.createDataFrame([(i, "the same words in every row", "en", "a", 0) for i in range(1200)], SCHEMA)
