@@ -2,6 +2,8 @@
 
 import re
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 
 from quillstone.operators import retrieval
@@ -36,3 +38,16 @@ def test_mentions_in_documents_of_all_languages(spark):
     wanted = {d["doc_id"]: len(re.findall(r"(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])", d["text"])) for d in docs}
     found = {r.doc_id: r.n_the for r in catalog.QUERIES["q_term_mentions"](spark, BASE).collect()}
     assert found == wanted and len(found) == len(docs) and any(wanted[d["doc_id"]] for d in docs if d["lang"] != "en")
+
+
+def test_lists_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " ", ";", "none", " N/A ", "NULL", "na", "a; b|c,", "\u00a0a\u3000;\u2003", "\u2003", "\ta\n, b", "none;null", ",,x\u200b", "\u2028a;"]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    wanted = connection.sql(catalog.ORACLE_SQL["q_split_list"]).fetchall()
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        found = [tuple(r) for r in catalog.QUERIES["q_split_list"](spark, str(tmp_path)).collect()]
+        spark.conf.unset("spark.sql.ansi.enabled")
+        assert sorted(found) == sorted(wanted)
